@@ -36,7 +36,7 @@ RULES = (
     Rule("short_words", "mean_word_chars", least=2.0),
     Rule("long_words", "mean_word_chars", most=14.0),
     Rule("symbols", "symbol_ratio", most=0.1),
-    Rule("few_stop_words", "stop_ratio", least=0.02, at_words=30),
+    Rule("few_stop_words", "stop_ratio", least=0.02, at_words=50),
     Rule("duplicate_lines", "dup_line_ratio", most=0.3),
     Rule("bullet_lines", "bullet_line_ratio", most=0.9),
     Rule("ellipsis_lines", "ellipsis_line_ratio", most=0.3),
@@ -51,25 +51,30 @@ _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"
 _RATIOS = ("mean_word_chars", "symbol_ratio", "stop_ratio", "dup_line_ratio", "bullet_line_ratio", "ellipsis_line_ratio", "alpha_word_ratio")
 
 
+def _stop_set() -> str:
+    """Stop words as they stand within and at the start of a sentence; one with punctuation attached isn't counted."""
+    return ", ".join(f"'{w}'" for w in sorted({*STOP_WORDS, *(w.capitalize() for w in STOP_WORDS)}))
+
+
 def _repeat_words() -> str:
     """Words covered by five-word windows that occur twice or more.
 
-    Windows are compared by hash first; only a text with an equal pair sorts its windows themselves, so the count is exact.
-    A one-element array binds what a lambda reads more than once.
+    `_g` holds a hash of each window. Only a text with two equal hashes sorts them; neighbours of equal hash are then
+    compared word by word. A one-element array binds what a lambda reads more than once.
     """
     k = WINDOW
-    hashes = f"transform(sequence(0, n_words - {k}), i -> xxhash64({', '.join(f'_w[cast(i as int) + {j}]' for j in range(k))}))"
-    grams = f"array_sort(transform(sequence(0, n_words - {k}), i -> struct(array_join(slice(_w, cast(i as int) + 1, {k}), ' ') as g, i as i)))"
-    marked = f"transform(array({grams}), s -> transform(s, (e, j) -> if((j > 0 and s[j - 1].g = e.g) or (j + 1 < size(s) and s[j + 1].g = e.g), e.i, null)))[0]"
-    places = f"array_sort(filter({marked}, i -> i is not null))"
-    spans = f"transform(array({places}), p -> transform(p, (x, j) -> if(j + 1 < size(p), least({k}L, p[j + 1] - x), {k}L)))[0]"
+    same = lambda i, j: f"(s[{i}].h = s[{j}].h and slice(_w, s[{i}].i + 1, {k}) = slice(_w, s[{j}].i + 1, {k}))"
+    order = "sort_array(transform(_g, (h, i) -> struct(h as h, i as i)))"
+    marked = f"transform(array({order}), s -> transform(s, (e, j) -> if((j > 0 and {same('j - 1', 'j')}) or (j + 1 < size(s) and {same('j', 'j + 1')}), e.i, null)))[0]"
+    places = f"sort_array(filter({marked}, i -> i is not null))"
+    spans = f"transform(array({places}), p -> transform(p, (x, j) -> if(j + 1 < size(p), least({k}, p[j + 1] - x), {k})))[0]"
     total = f"aggregate({spans}, 0L, (a, x) -> a + x)"
-    return f"case when n_words <= {k} then 0L when transform(array({hashes}), h -> size(array_distinct(h)) = size(h))[0] then 0L else {total} end"
+    return f"case when size(_g) < 2 or size(array_distinct(_g)) = size(_g) then 0L else {total} end"
 
 
 def with_quality(df: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
     """df with the counts, ratios, `base_failed`, `failed_rules` and `kept`; its own columns of those names are replaced."""
-    own = {*_COUNTS, *_RATIOS, "base_failed", "failed_rules", "kept", "_t", "_w", "_l"}
+    own = {*_COUNTS, *_RATIOS, "base_failed", "failed_rules", "kept", "_t", "_w", "_l", "_g"}
     keep = [c for c in df.columns if c not in own or c == text]
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     one = df.select(*(F.col(f"`{c}`") for c in keep), t.alias("_t"), F.expr(f"split(trim(BOTH ' \\t\\n\\u000b\\f\\r' FROM coalesce(`{text}`, '')), '{_WS.replace(chr(92), chr(92) * 2)}')").alias("_w"))
@@ -78,7 +83,10 @@ def with_quality(df: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "te
         *(F.col(f"`{c}`") for c in keep), "_t", "_w", lines.alias("_l"),
         F.expr("cast(if(_w[0] = '', 0, size(_w)) as bigint)").alias("n_words"),
     )
-    stop = ", ".join(f"'{w}'" for w in sorted(set(STOP_WORDS)))
+    named = [*(F.col(f"`{c}`") for c in keep), "_t", "_w", "_l", "n_words"]
+    two = two.select(*named, F.expr("transform(_w, w -> xxhash64(w))").alias("_h"))
+    window = ", ".join(f"_h[i + {j}]" for j in range(1, WINDOW))
+    two = two.select(*named, F.expr(f"transform(slice(_h, 1, greatest(cast(n_words as int) - {WINDOW - 1}, 0)), (h, i) -> xxhash64(h, {window}))").alias("_g"))
     three = two.select(
         *(F.col(f"`{c}`") for c in keep), "n_words",
         F.expr("cast(length(array_join(_w, '')) as bigint)").alias("word_chars"),
@@ -86,8 +94,8 @@ def with_quality(df: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "te
         F.expr("cast(size(_l) as bigint)").alias("_n_lines"),
         F.expr("cast(size(_l) - size(array_distinct(_l)) as bigint)").alias("n_dup_lines"),
         F.expr(_repeat_words()).alias("n_repeat_words"),
-        F.expr(f"size(filter(_w, w -> rtrim('.,;:!?', lower(w)) in ({stop})))").alias("_n_stop"),
-        F.expr("size(filter(_w, w -> w rlike '\\\\p{L}'))").alias("_n_alpha"),
+        F.expr(f"size(filter(_w, w -> w in ({_stop_set()})))").alias("_n_stop"),
+        F.expr(r"size(filter(_w, w -> w rlike '\\p{L}'))").alias("_n_alpha"),
         F.expr("size(filter(_l, l -> ltrim(l) rlike '^[-*•]'))").alias("_n_bullet"),
         F.expr("size(filter(_l, l -> rtrim(l) like '%...' or rtrim(l) like '%…'))").alias("_n_ellipsis"),
     )
@@ -124,7 +132,7 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def sql() -> str:
-    ws, stop = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)", ", ".join(f"'{w}'" for w in sorted(set(STOP_WORDS)))
+    ws = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
     rules = []
     for r in RULES:
         test = " OR ".join(([f"{r.metric} < {r.least}"] if r.least is not None else []) + ([f"{r.metric} > {r.most}"] if r.most is not None else []))
@@ -141,7 +149,7 @@ k AS (SELECT rid, CAST(sum(CASE WHEN j IS NULL THEN {WINDOW} ELSE least({WINDOW}
 m AS (SELECT doc_id, n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
  CAST(length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
  CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, len(ls) AS n_lines,
- len(list_filter(ws, lambda x: rtrim(lower(x), '.,;:!?') IN ({stop}))) AS n_stop,
+ len(list_filter(ws, lambda x: x IN ({_stop_set()}))) AS n_stop,
  len(list_filter(ws, lambda x: regexp_matches(x, '\\p{{L}}'))) AS n_alpha,
  len(list_filter(ls, lambda l: regexp_matches(ltrim(l), '^[-*•]'))) AS n_bullet,
  len(list_filter(ls, lambda l: rtrim(l) LIKE '%...' OR rtrim(l) LIKE '%…')) AS n_ellipsis
