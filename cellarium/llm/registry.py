@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from cellarium.llm import quality_rules
+from cellarium.llm import quality_rules, sharding
 
 
 def queries() -> dict:
     return {
         "op6_quality_rules": quality_rules.query,
+        "op10_sharding": sharding.query,
     }
 
 
