@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from cellarium.llm import quality_rules, sharding
+from cellarium.llm import quality_rules, sharding, url_filters
 
 
 def queries() -> dict:
     return {
+        "op4_url_filters": url_filters.query,
         "op6_quality_rules": quality_rules.query,
         "op10_sharding": sharding.query,
     }
@@ -14,5 +15,6 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op4_url_filters": url_filters.sql(),
         "op6_quality_rules": quality_rules.sql(),
     }
