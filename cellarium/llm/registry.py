@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from cellarium.llm import quality_rules, sharding, url_filters
+from cellarium.llm import decontamination, quality_rules, sharding, url_filters
 
 
 def queries() -> dict:
     return {
+        "op3_decontamination": decontamination.query,
         "op4_url_filters": url_filters.query,
         "op6_quality_rules": quality_rules.query,
         "op10_sharding": sharding.query,
