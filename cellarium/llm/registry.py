@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cellarium.llm import decontamination, quality_rules, sharding, url_filters
+from cellarium.llm import decontamination, packing, quality_rules, sharding, url_filters
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op3_decontamination": decontamination.query,
         "op4_url_filters": url_filters.query,
         "op6_quality_rules": quality_rules.query,
+        "op8_best_fit_packing": packing.query,
         "op10_sharding": sharding.query,
     }
 
