@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cellarium.llm import decontamination, packing, quality_rules, sharding, url_filters
+from cellarium.llm import decontamination, language_id, packing, quality_classifier, quality_rules, sharding, url_filters
 
 
 def queries() -> dict:
@@ -10,6 +10,8 @@ def queries() -> dict:
         "op3_decontamination": decontamination.query,
         "op4_url_filters": url_filters.query,
         "op6_quality_rules": quality_rules.query,
+        "op5_language_id": language_id.query,
+        "op7_quality_classifier": quality_classifier.query,
         "op8_best_fit_packing": packing.query,
         "op10_sharding": sharding.query,
     }
