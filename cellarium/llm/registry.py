@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cellarium.llm import decontamination, language_id, packing, quality_classifier, quality_rules, sharding, url_filters
+from cellarium.llm import decontamination, jaccard_join, language_id, packing, quality_classifier, quality_rules, sharding, url_filters
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op5_language_id": language_id.query,
         "op7_quality_classifier": quality_classifier.query,
         "op8_best_fit_packing": packing.query,
+        "op9_jaccard_join": jaccard_join.query,
         "op10_sharding": sharding.query,
     }
 
