@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from cellarium.llm import decontamination, jaccard_join, language_id, packing, quality_classifier, quality_rules, run_length_index, sharding, url_filters
+from cellarium.llm import decontamination, jaccard_join, language_id, license_scan, packing, quality_classifier, quality_rules, run_length_index, sharding, url_filters
 
 
 def queries() -> dict:
     return {
+        "op1_license_scan": license_scan.query,
         "op2_suffix_array_dedup": run_length_index.query,
         "op3_decontamination": decontamination.query,
         "op4_url_filters": url_filters.query,
@@ -21,6 +22,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_license_scan": license_scan.sql(),
         "op4_url_filters": url_filters.sql(),
         "op6_quality_rules": quality_rules.sql(),
     }
