@@ -159,9 +159,9 @@ def _profiler(bc, k: int, percent: int):
                 heads = [_prefix(s, known, rank, percent) for s in sets]
                 ends = np.cumsum([0, *map(len, heads)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([
-                    part.column("doc_id"), pa.array([len(s) for s in sets], pa.int32()), pa.array([signature(s) for s in sets], pa.binary()),
+                    part.column("doc_id"), part.column("th"), pa.array([len(s) for s in sets], pa.int32()), pa.array([signature(s) for s in sets], pa.binary()),
                     pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(heads).view(np.int64) if heads else np.zeros(0, np.int64))), pa.array([point(s).tobytes() if len(s) else b"" for s in sets], pa.binary()),
-                ], ["doc_id", "n", "sig", "prefix", "point"])
+                ], ["doc_id", "th", "n", "sig", "prefix", "point"])
 
     return run
 
@@ -239,11 +239,11 @@ class _Join:
     """State of one join: nodes, their texts and the links found."""
 
     def __init__(self, docs: DataFrame, percent: int, k: int, heavy_share: float):
-        self.docs, self.percent, self.k = docs.select("doc_id", "text"), percent, k
+        self.docs, self.percent, self.k = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th")), percent, k
         heavy = self.docs.sparkSession.sparkContext.broadcast(heavy_shingles(self.docs, heavy_share, k))  # size: see heavy_shingles
-        self.profiles = materialize(self.docs.mapInArrow(_profiler(heavy, k, percent), "doc_id long, n int, sig binary, prefix array<long>, point binary"), "profiles")
-        alike = self.profiles.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.min_by(F.struct("n", "prefix", "point"), F.struct("doc_id")).alias("x"))
-        self.nodes = materialize(alike.select("sig", "doc_id", F.monotonically_increasing_id().alias("node"), "x.*"), "nodes")
+        self.profiles = materialize(self.docs.mapInArrow(_profiler(heavy, k, percent), "doc_id long, th long, n int, sig binary, prefix array<long>, point binary"), "profiles")
+        alike = self.profiles.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("least_id"), F.min_by(F.struct("doc_id", "th", "n", "prefix", "point"), F.struct(F.col("doc_id").isNull(), "doc_id", "th")).alias("x"))
+        self.nodes = materialize(alike.select("sig", "least_id", F.monotonically_increasing_id().alias("node"), "x.*"), "nodes")
         keys = self.nodes.select(F.explode("prefix").alias("key"), "node", "n")
         shared = keys.withColumn("_c", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("_c > 1").select("key", "node", "n", F.col("node").alias("comp"))
         self.buckets = materialize(shared, "buckets")
@@ -290,19 +290,35 @@ class _Join:
         return rows.repartition("key").sortWithinPartitions("key", "node").select("key", "node", "n", "comp", "point").mapInArrow(_searched(self.percent), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT, k: int = K, heavy_share: float = HEAVY) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for each row of docs (doc_id, text)."""
+def _joined(docs: DataFrame, percent: int, k: int, heavy_share: float) -> _Join:
     join = _Join(docs, percent, k, heavy_share)
     for turn in range(LEADER_ROUNDS):
         join.verify(join.leaders(turn), f"leaders-{turn}")
         join.settle()
     join.verify(join.searches(), "trees")
-    named = join.nodes.select("node", "sig", "doc_id").join(join.components(), "node", "left").select("sig", "doc_id", F.coalesce("component", "node").alias("component"))
-    ids = named.join(named.groupBy("component").agg(F.min("doc_id").alias("component_id")), "component").select("sig", "component_id")
+    return join
+
+
+def near_duplicates(docs: DataFrame, percent: int = PERCENT, k: int = K, heavy_share: float = HEAVY) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for each row of docs (doc_id, text)."""
+    join = _joined(docs, percent, k, heavy_share)
+    named = join.nodes.select("node", "sig", "least_id").join(join.components(), "node", "left").select("sig", "least_id", F.coalesce("component", "node").alias("component"))
+    ids = named.join(named.groupBy("component").agg(F.min("least_id").alias("component_id")), "component").select("sig", "component_id")
     return join.profiles.select("doc_id", "n", F.when(F.col("n") > 0, F.col("sig")).alias("sig")).join(ids, "sig", "left").select(
         "doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")
     )
 
 
+def representatives(docs: DataFrame, percent: int = PERCENT, k: int = K, heavy_share: float = HEAVY) -> DataFrame:
+    """The row of each component with the least id (of equal ids the least text hash; one of equal rows), and all rows without words."""
+    join = _joined(docs, percent, k, heavy_share)
+    named = join.nodes.select("node", "doc_id", "th").join(join.components(), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    first = named.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("_no"), F.col("doc_id").alias("_id"), F.col("th").alias("_th"))).alias("x")).select("x._id", "x._th")
+    keyed = docs.withColumn("_key", F.xxhash64(F.coalesce("text", F.lit(""))))
+    words = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    kept = keyed.where(words).join(first, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_th")), "left_semi").dropDuplicates(["doc_id", "_key"])
+    return kept.drop("_key").unionByName(docs.where(~words)).select(*docs.columns)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
