@@ -16,6 +16,7 @@ has no sequences; extra columns are ignored.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -44,10 +45,24 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: Words of visible ASCII but the apostrophe, and of Latin-1 letters: normalising such a word only lowers it.
+_PLAIN = re.compile(r"[!-&(-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+#: What the tokenizer's pattern cuts a plain lower-case word into.
+_CUTS = re.compile(r"[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
+
+
+def _byte_letters() -> list[str]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself where it's visible, else the next from U+0100 on."""
+    seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = iter(range(256, 512))
+    return [chr(b) if b in seen else chr(next(rest)) for b in range(256)]
+
+
 class WordIds(dict):
     """Blank-delimited word -> its token ids as little-endian bytes.
 
     The tokenizer drops white space and no token crosses it, so a text's ids are those of its words, one after another.
+    Plain words are cut here and their pieces handed to the tokenizer's model; all others go through the whole tokenizer.
     """
 
     def __init__(self, path: str):
@@ -56,14 +71,31 @@ class WordIds(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model, self.letters, self.pieces = self.tokenizer.model, _byte_letters(), {}
+
+    def _piece(self, piece: str) -> bytes:
+        got = self.pieces.get(piece)
+        if got is None:
+            seen = piece if piece.isascii() else "".join(map(self.letters.__getitem__, piece.encode()))
+            got = self.pieces[piece] = np.array([t.id for t in self.model.tokenize(seen)], "<u4").tobytes()
+        return got
 
     def learn(self, words: set[bytes]) -> None:
         new = [w for w in words if w not in self]
         if len(self) + len(new) > KNOWN_WORDS:
             self.clear()
             new = list(words)
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
+        if len(self.pieces) > KNOWN_WORDS:
+            self.pieces.clear()
+        other = []
+        for w in new:
+            text = w.decode()
+            if _PLAIN.fullmatch(text):
+                self[w] = b"".join(map(self._piece, _CUTS.findall(text.lower())))
+            else:
+                other.append(w)
+        for at in range(0, len(other), 20_000):
+            part = other[at : at + 20_000]
             for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
                 self[w] = np.array(e.ids, "<u4").tobytes()
 
