@@ -30,7 +30,7 @@ def append(log: DataFrame, schema: TableSchema, path: str, partitions: int | Non
 def read(spark: SparkSession, schema: TableSchema, path: str, families: set[str] | None = None, value=None) -> DataFrame:
     log = spark.read.schema(log_schema(value).add("lg", "string")).parquet(path)
     if families:
-        log = log.where(F.col("lg").isin(sorted({schema.family(f).group for f in families}), "all"))
+        log = log.where(F.col("lg").isin(sorted({"all", *(schema.family(f).group for f in families)})))
     return log.select(*LOG_COLUMNS)
 
 
