@@ -84,8 +84,9 @@ def windows(h: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
     if n <= 0:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     out = np.zeros(n, np.uint64)
-    for j in range(k):
-        out += h[j : j + n] * np.uint64((2 * j + 3) * 0x9E3779B97F4A7C15 % (1 << 64) | 1)
+    # coefficients without a pattern: sums of any few of them must differ
+    for j, by in enumerate(mix(np.arange(1, k + 1, dtype=np.uint64) * np.uint64(_BASE)) | np.uint64(1)):
+        out += h[j : j + n] * by
     whole = np.ones(n, bool)
     for j in range(1, k):  # a window that starts less than k words before a text's end is none
         cut = first[1:] - j
