@@ -80,17 +80,7 @@ class RunLengthIndex:
         n = len(buf)
         self.buf, self.n = buf, n
         self.end = np.repeat(offsets[1:], np.diff(offsets))
-        at = np.arange(n)
-        key = np.zeros(n, np.uint64)
-        for j in range(7):  # nine bits for each of the first seven bytes; zero beyond a string's end
-            k = np.minimum(at + j, n - 1)
-            key = (key << np.uint64(9)) | np.where(at + j < self.end, buf[k].astype(np.uint64) + np.uint64(1), np.uint64(0))
-        rank, have, longest = self._ranks(key), 7, int(np.diff(offsets).max(initial=0))
-        while have < longest:
-            k = np.minimum(at + have, n - 1)
-            rank = self._ranks((rank << np.uint64(32)) | np.where(at + have < self.end, rank[k] + np.uint64(1), np.uint64(0)))
-            have *= 2
-        self.order = np.argsort(rank, kind="stable")
+        self.order = self._suffix_order(offsets)
         before = np.full(n, -1, np.int16)
         before[1:] = buf[:-1]
         before[offsets[:-1][np.diff(offsets) > 0]] = -1
@@ -100,25 +90,66 @@ class RunLengthIndex:
             change[1:-1] = (bwt[1:] != bwt[:-1]) | (bwt[1:] < 0)
         self.heads, self.tails = np.flatnonzero(change[:-1]), np.flatnonzero(change[1:])
 
-    @staticmethod
-    def _ranks(key: np.ndarray) -> np.ndarray:
-        order = np.argsort(key)
-        k = key[order]
-        rank = np.empty(len(key), np.uint64)
-        rank[order] = np.cumsum(np.concatenate([[0], k[1:] != k[:-1]])).astype(np.uint64)
-        return rank
-
-    def _common(self, s: np.ndarray, t: np.ndarray, spans: SpanHash) -> np.ndarray:
-        """Length of the longest common prefix of suffixes s and t."""
-        low, high = np.zeros(len(s), np.int64), np.minimum(self.end[s] - s, self.end[t] - t)
+    def _suffix_order(self, offsets: np.ndarray) -> np.ndarray:
+        """Suffixes in order, equal ones by place. Each round doubles the bytes compared, among suffixes that are still alike."""
+        n, sizes = self.n, np.diff(offsets)
+        at = np.arange(n) + 7 * np.repeat(np.arange(len(sizes)), sizes)  # seven zeros after each string
+        symbols = np.zeros(n + 7 * len(sizes) + 7, np.uint64)
+        symbols[at] = self.buf.astype(np.uint64) + np.uint64(1)
+        join = lambda x, y, by, bits: (x[: len(y) - by] << np.uint64(bits)) | y[by:]
+        two = join(symbols, symbols, 1, 9)
+        three, four = join(two, symbols, 2, 9), join(two, two, 2, 18)
+        key = join(four, three, 4, 27)[at]
+        live, rank, have, longest = np.argsort(key), np.zeros(n, np.uint64), 0, int(sizes.max(initial=0))
+        key, order = key[live], np.zeros(n, np.int64)
+        base = np.zeros(n, np.uint64)
+        while len(live):
+            place = np.arange(len(live))
+            new = np.ones(len(live), bool)
+            new[1:] = key[1:] != key[:-1]
+            head = np.maximum.accumulate(np.where(new, place, 0))
+            old = np.ones(len(live), bool)
+            old[1:] = base[1:] != base[:-1]
+            first = np.maximum.accumulate(np.where(old, place, 0))
+            # a group's rank is where it begins in the whole order
+            ranks = base + (head - first).astype(np.uint64)
+            rank[live] = ranks
+            have = have * 2 or 7
+            alike = ~new
+            alike[:-1] |= ~new[1:]
+            single = ~alike
+            order[ranks[single].astype(np.int64)] = live[single]
+            live, base = live[alike], ranks[alike]
+            if have >= longest:
+                turn = np.lexsort((live, base))
+                base, live = base[turn], live[turn]
+                begins = np.ones(len(live), bool)
+                begins[1:] = base[1:] != base[:-1]
+                place = np.arange(len(live))
+                order[base.astype(np.int64) + place - np.maximum.accumulate(np.where(begins, place, 0))] = live
+                break
+            k = live + have
+            key = (base << np.uint64(32)) | np.where(k < self.end[live], rank[np.minimum(k, n - 1)] + np.uint64(1), np.uint64(0))
+            turn = np.argsort(key)
+            key, live, base = key[turn], live[turn], base[turn]
+        return order
+
+    def _common(self, s: np.ndarray, t: np.ndarray, spans: SpanHash, least: int) -> np.ndarray:
+        """Length of the longest common prefix of suffixes s and t; 0 where it is under `least`."""
+        most = np.minimum(self.end[s] - s, self.end[t] - t)
+        out = np.zeros(len(s), np.int64)
+        some = np.flatnonzero(most >= max(1, least))
+        some = some[spans(s[some], s[some] + max(1, least)) == spans(t[some], t[some] + max(1, least))]
+        s, t, low, high = s[some], t[some], np.full(len(some), max(1, least)), most[some]
         while (low < high).any():
             mid = (low + high + 1) // 2
             same = spans(s, s + mid) == spans(t, t + mid)
             low, high = np.where(same, mid, low), np.where(same, high, mid - 1)
-        return low
+        out[some] = low
+        return out
 
-    def matching_statistics(self) -> np.ndarray:
-        """For each byte: the length of the longest string that starts there and anywhere else."""
+    def matching_statistics(self, least: int = 0) -> np.ndarray:
+        """For each byte: the length of the longest string that starts there and anywhere else. One under `least` may be shown as less."""
         best = np.zeros(self.n, np.int64)
         if not self.n:
             return best
@@ -127,7 +158,7 @@ class RunLengthIndex:
         for ends, shift in ((self.heads, -1), (self.tails, 1)):
             inner = ends[(ends + shift >= 0) & (ends + shift < self.n)]
             sampled = np.zeros(self.n, np.int64)
-            sampled[self.order[inner]] = self._common(self.order[inner], self.order[inner + shift], spans)
+            sampled[self.order[inner]] = self._common(self.order[inner], self.order[inner + shift], spans, least)
             known = np.zeros(self.n, bool)
             known[self.order[ends]] = True
             last = np.maximum.accumulate(np.where(known, at, 0))
@@ -172,7 +203,7 @@ def _index_rows(size: int, block_bytes: int):
     def marked(rows: list[tuple]) -> pa.RecordBatch:
         buf = np.frombuffer(b"".join(r[4] for r in rows), np.uint8)
         offsets = np.concatenate([[0], np.cumsum([len(r[4]) for r in rows])]).astype(np.int64)
-        repeated = RunLengthIndex(buf, offsets).matching_statistics() >= size
+        repeated = RunLengthIndex(buf, offsets).matching_statistics(size) >= size
         # no statistic reaches beyond its fragment, so marked starts of two fragments are never consecutive
         a, b = _spans_of(repeated, size)
         which = np.searchsorted(offsets, a, "right") - 1
