@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -16,6 +17,17 @@ _own_dir: list[str] = []
 SLICE_BYTES = 2 << 20
 
 
+#: Rows that Spark hands to Python at once; long values make thousands of them too many.
+BATCH_ROWS = 1000
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batch to BATCH_ROWS rows, which bounds what a worker holds."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share; a private one only where the session names none, as in tests."""
     if found := spark.conf.get("spark.checkpoint.dir", None):
@@ -25,12 +37,19 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dir[0]
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the files of shuffles that nothing refers to any more; it finds them as the driver's garbage is collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: lineage ends there, so a lost executor costs no recomputation."""
-    spark = df.sparkSession
+    spark, schema = df.sparkSession, df.schema
+    release_shuffles(spark)
     path = f"{shared_dir(spark)}/cellarium/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(schema).parquet(path)
 
 
 def text_buffer(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cellarium.llm.common import materialize, slices, text_buffer
+from cellarium.llm.common import bound_batches, materialize, slices, text_buffer
 from cellarium.llm.textvec import SpanHash, mix
 
 SIZE, GRAM = 200, 24
@@ -167,12 +167,18 @@ class RunLengthIndex:
 
 
 def _fragment_rows(size: int):
+    """Fragments with n: how many equal ones the slice has, on the first of them, and 0 on the others."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 text, start, length, h, c = fragments(*text_buffer(part.column("text")), size)
+                order = np.lexsort((c, h))
+                new = np.concatenate([[True], (h[order][1:] != h[order][:-1]) | (c[order][1:] != c[order][:-1])])[: len(order)]
+                n = np.zeros(len(order), np.int32)
+                n[order[new]] = np.diff(np.append(np.flatnonzero(new), len(order)))
                 take = pa.array(text)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(take), part.column("th").take(take), pa.array(start.astype(np.int32)), pa.array(length.astype(np.int32)), pa.array(h.astype(np.int64)), pa.array(c.astype(np.int64))], ["doc_id", "th", "start", "length", "h", "c"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(take), part.column("th").take(take), pa.array(start.astype(np.int32)), pa.array(length.astype(np.int32)), pa.array(h.astype(np.int64)), pa.array(c.astype(np.int64)), pa.array(n)], ["doc_id", "th", "start", "length", "h", "c", "n"])
 
     return run
 
@@ -245,16 +251,18 @@ def _window_rows(size: int):
 
 def mark(docs: DataFrame, size: int = SIZE, block_bytes: int = BLOCK_BYTES, big: int = BIG) -> DataFrame:
     """(doc_id, th, from, to): byte ranges that windows found elsewhere cover; ranges may overlap. docs: doc_id, th (a hash of the text), text."""
-    found = docs.select("doc_id", "th", "text").mapInArrow(_fragment_rows(size), "doc_id long, th long, start int, length int, h long, c long")
+    bound_batches(docs.sparkSession)
+    found = materialize(docs.select("doc_id", "th", "text").mapInArrow(_fragment_rows(size), "doc_id long, th long, start int, length int, h long, c long, n int"), "found")
+    known = found.where("n = 0").select("doc_id", "th", "start", "length")  # repeats whatever other slices hold; they needn't meet anything
     by_h, by_c = Window.partitionBy("h"), Window.partitionBy("h", "c")
-    counted = found.withColumns({"_n": F.count(F.lit(1)).over(by_h), "_low": F.min("c").over(by_h), "_high": F.max("c").over(by_h)}).where("_n > 1")
-    numbered = counted.withColumns({"_same": F.count(F.lit(1)).over(by_c), "_i": F.row_number().over(by_c.orderBy("doc_id", "th", "start"))})
+    counted = found.where("n > 0").withColumns({"_n": F.sum("n").over(by_h), "_low": F.min("c").over(by_h), "_high": F.max("c").over(by_h)}).where("_n > 1")
+    numbered = counted.withColumns({"_same": F.sum("n").over(by_c), "_i": F.row_number().over(by_c.orderBy("doc_id", "th", "start"))})
     judged = numbered.withColumn("_kinds", F.sum(F.when(F.col("_i") == 1, 1).otherwise(0)).over(by_h))
     events = materialize(
         judged.select("doc_id", "th", "start", "length", "h", (F.col("_same") > 1).alias("whole"), ((F.col("_i") == 1) & (F.col("_low") != F.col("_high"))).alias("compare"), (F.col("_kinds") > big).alias("big")).where("whole or compare"),
         "fragments",
     )
-    whole = events.where("whole").select("doc_id", "th", F.col("start").alias("from"), (F.col("start") + F.col("length")).alias("to"))
+    whole = events.where("whole").select("doc_id", "th", "start", "length").unionByName(known).select("doc_id", "th", F.col("start").alias("from"), (F.col("start") + F.col("length")).alias("to"))
     # a document's own fragments: as many as its length allows
     asked = events.where("compare").groupBy("doc_id", "th").agg(F.collect_set(F.struct("start", "length", "h", "big")).alias("asked")).withColumnsRenamed({"doc_id": "_id", "th": "_th"})
     texts = docs.join(asked, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th"))).select("doc_id", "th", "text", "asked")
@@ -311,9 +319,10 @@ def repeats(docs: DataFrame, **how) -> DataFrame:
 
 def without_repeats(docs: DataFrame, **how) -> DataFrame:
     """docs with repeated bytes taken out of text; what is left of a character that was cut is dropped."""
-    kept = [c for c in docs.columns if c != "text"]
-    fields = docs.select(*kept)._jdf.schema().toDDL()
-    return _with_spans(docs, **how).mapInArrow(_finish(kept, True), f"{fields}, text string").select(*docs.columns)
+    rest = docs.select("doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("_rest"))
+    fields = rest.select("_rest")._jdf.schema().toDDL()
+    out = _with_spans(rest, **how).mapInArrow(_finish(["_rest"], True), f"{fields}, text string")
+    return out.select("_rest.*", "text").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
