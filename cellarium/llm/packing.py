@@ -15,6 +15,7 @@ has no sequences; extra columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import os
 import re
 import zlib
@@ -31,8 +32,8 @@ from pyspark.sql.window import Window
 from cellarium.llm.common import materialize, slices, text_buffer
 
 SIZE, END = 4096, 1
-#: Words whose ids a worker remembers.
-KNOWN_WORDS = 400_000
+#: Words whose ids a worker remembers, and twice as many pieces of words; most of the rest stand once in a corpus.
+KNOWN_WORDS = 120_000
 #: Parts that pieces of one length are numbered in.
 PARTS = 64
 
@@ -71,10 +72,13 @@ class WordIds(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.model, self.letters, self.pieces = self.tokenizer.model, _byte_letters(), {}
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
+        self.pieces, self.older = {}, {}
 
     def _piece(self, piece: str) -> bytes:
         got = self.pieces.get(piece)
+        if got is None and (got := self.older.get(piece)) is not None:
+            self.pieces[piece] = got
         if got is None:
             seen = piece if piece.isascii() else "".join(map(self.letters.__getitem__, piece.encode()))
             got = self.pieces[piece] = np.array([t.id for t in self.model.tokenize(seen)], "<u4").tobytes()
@@ -86,7 +90,7 @@ class WordIds(dict):
             self.clear()
             new = list(words)
         if len(self.pieces) > KNOWN_WORDS:
-            self.pieces.clear()
+            self.pieces, self.older = {}, self.pieces
         other = []
         for w in new:
             text = w.decode()
@@ -105,9 +109,15 @@ class WordIds(dict):
         return [b"".join(map(self.__getitem__, w)) for w in words]
 
 
+@functools.lru_cache(1)
+def worker_ids(path: str) -> WordIds:
+    """One for all tasks of a worker process."""
+    return WordIds(path)
+
+
 def _tokenize(path: str, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = WordIds(path)
+        ids = worker_ids(path)
         end = np.array([END], "<u4").tobytes()
         for batch in batches:
             for part in slices(batch, "text"):
