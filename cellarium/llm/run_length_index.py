@@ -33,7 +33,7 @@ from cellarium.llm.common import bound_batches, materialize, slices, text_buffer
 from cellarium.llm.textvec import SpanHash, mix
 
 SIZE, GRAM = 200, 24
-BLOCK_BYTES, BIG = 3 << 20, 20_000
+BLOCK_BYTES, BIG = 3 << 19, 20_000
 
 
 def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
