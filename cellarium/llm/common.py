@@ -49,7 +49,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     release_shuffles(spark)
     path = f"{shared_dir(spark)}/cellarium/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out._cellarium_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete what materialize() wrote for df, which no later step may read."""
+    jvm = df.sparkSession.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(df._cellarium_path)
+    path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def text_buffer(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -6,8 +6,8 @@
    points in the box.
 3. Two sets of Jaccard similarity t or more share one of the first (1 - t) n + 1 of their shingles, in any order that
    is the same for all. Shingles in over HEAVY of the documents come last in it. Nodes meet in the buckets of those.
-4. In each bucket all are compared with one leader: bound by points, then the sets themselves. Found links join
-   nodes into components; buckets of one component are done. After LEADER_ROUNDS of this, the points of each bucket that is
+4. Each bucket has a leader, and each node is compared with the leader it shares most buckets with: bound by points,
+   then the sets themselves. Found links join nodes into components; buckets of one component are done. After LEADER_ROUNDS of this, the points of each bucket that is
    left are put into an R-tree, and each is searched for those of other components; what the bounds let through is
    compared by sets. A link that this passes over lies within a component, so components are exact.
 
@@ -28,14 +28,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cellarium.llm.common import materialize, slices, text_buffer
+from cellarium.llm.common import bound_batches, discard, materialize, slices, text_buffer
 from cellarium.llm.components import connected_components
 from cellarium.llm.textvec import BLANK, LOWER, SpanHash, mix, runs, windows
 
 K, PERCENT = 5, 75
 #: A shingle in more than this share of the documents is heavy; sets of s shingles on average have at most s / HEAVY such.
 HEAVY = 0.002
-LEADER_ROUNDS = 2
+LEADER_ROUNDS = 3
 LEAF = 16
 
 
@@ -118,7 +118,7 @@ class RTree:
 def _heavy_in(share: float, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", 16 << 20):
+            for part in slices(batch, "text"):
                 sets = [s for s in shingle_sets(part.column("text"), k) if len(s)]
                 if not sets:
                     continue
@@ -247,6 +247,11 @@ class _Join:
         keys = self.nodes.select(F.explode("prefix").alias("key"), "node", "n")
         shared = keys.withColumn("_c", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("_c > 1").select("key", "node", "n", F.col("node").alias("comp"))
         self.buckets = materialize(shared, "buckets")
+        # prefixes have done their work, and are most of what was written
+        whole, self.profiles = self.profiles, materialize(self.profiles.select("doc_id", "th", "n", "sig"), "classes")
+        discard(whole)
+        whole, self.nodes = self.nodes, materialize(self.nodes.drop("prefix"), "points")
+        discard(whole)
         self.links = None
         self.tested = None
 
@@ -266,6 +271,7 @@ class _Join:
         both = close.join(sets.select(F.col("node").alias("a"), F.col("members").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("members").alias("y")), "b")
         links = materialize(both.mapInArrow(_verified(self.percent), "a long, b long"), f"links-{name}")
         self.links = links if self.links is None else self.links.unionByName(links)
+        discard(sets)
 
     def components(self) -> DataFrame:
         return materialize(connected_components(self.links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "components")
@@ -275,22 +281,28 @@ class _Join:
         now = self.buckets.drop("comp").join(self.components(), "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("comp"))
         w = Window.partitionBy("key")
         left = now.withColumns({"_c": F.count(F.lit(1)).over(w), "_x": F.min("comp").over(w), "_y": F.max("comp").over(w)})
-        self.buckets = materialize(left.where("_c > 2 and _x <> _y").drop("_c", "_x", "_y"), "buckets")
+        self.buckets = materialize(left.where("_c > 1 and _x <> _y").drop("_c", "_x", "_y"), "buckets")
 
     def leaders(self, turn: int) -> DataFrame:
-        """Each bucket's nodes with its leader, where sizes permit a link and components differ."""
+        """Each node with one leader: of its buckets' leaders that sizes permit and components differ from, the one it shares most buckets with."""
         lead = self.buckets.withColumn("_l", F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("r"), "node", "n", "comp")).over(Window.partitionBy("key")))
         fits = (F.col("_l.comp") != F.col("comp")) & (100 * F.least("n", "_l.n") >= self.percent * F.greatest("n", "_l.n"))
-        return lead.where(fits).select(F.least("node", "_l.node").alias("a"), F.greatest("node", "_l.node").alias("b"))
+        shared = lead.where(fits).groupBy("node", F.col("_l.node").alias("_to")).agg(F.count(F.lit(1)).alias("_c"))
+        best = shared.groupBy("node").agg(F.max_by("_to", F.struct("_c", "_to")).alias("_to"))
+        return best.select(F.least("node", "_to").alias("a"), F.greatest("node", "_to").alias("b"))
 
     def searches(self) -> DataFrame:
         """Pairs from the R-trees of buckets that are left, one bucket of each list of nodes."""
-        once = self.buckets.groupBy("key").agg(F.count(F.lit(1)).alias("_c"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("_s")).groupBy("_c", "_s").agg(F.min("key").alias("key")).select("key")
+        lists = self.buckets.groupBy("key").agg(F.count(F.lit(1)).alias("_c"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("_s"), F.min("node").alias("a"), F.max("node").alias("b"), F.min("n").alias("_m"), F.max("n").alias("_n"))
+        two = lists.where((F.col("_c") == 2) & (100 * F.col("_m") >= self.percent * F.col("_n"))).select("a", "b")
+        once = lists.where("_c > 2").groupBy("_c", "_s").agg(F.min("key").alias("key")).select("key")
         rows = self.buckets.join(once, "key", "left_semi").join(self.nodes.select("node", "point"), "node")
-        return rows.repartition("key").sortWithinPartitions("key", "node").select("key", "node", "n", "comp", "point").mapInArrow(_searched(self.percent), "a long, b long")
+        found = rows.repartition("key").sortWithinPartitions("key", "node").select("key", "node", "n", "comp", "point").mapInArrow(_searched(self.percent), "a long, b long")
+        return found.unionByName(two)
 
 
 def _joined(docs: DataFrame, percent: int, k: int, heavy_share: float) -> _Join:
+    bound_batches(docs.sparkSession)
     join = _Join(docs, percent, k, heavy_share)
     for turn in range(LEADER_ROUNDS):
         join.verify(join.leaders(turn), f"leaders-{turn}")
@@ -313,10 +325,12 @@ def representatives(docs: DataFrame, percent: int = PERCENT, k: int = K, heavy_s
     """The row of each component with the least id (of equal ids the least text hash; one of equal rows), and all rows without words."""
     join = _joined(docs, percent, k, heavy_share)
     named = join.nodes.select("node", "doc_id", "th").join(join.components(), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    first = named.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("_no"), F.col("doc_id").alias("_id"), F.col("th").alias("_th"))).alias("x")).select("x._id", "x._th")
-    keyed = docs.withColumn("_key", F.xxhash64(F.coalesce("text", F.lit(""))))
+    first = named.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("_no"), F.col("doc_id").alias("_id"), F.col("th").alias("_th"))).alias("x"))
+    # one key for the join and for repeated rows, so that texts are dealt once
+    key = lambda i, t: F.concat_ws(":", i.cast("string"), t.cast("string"))
+    keyed = docs.withColumn("_key", key(F.col("doc_id"), F.xxhash64(F.coalesce("text", F.lit("")))))
     words = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    kept = keyed.where(words).join(first, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_th")), "left_semi").dropDuplicates(["doc_id", "_key"])
+    kept = keyed.where(words).join(first.select(key(F.col("x._id"), F.col("x._th")).alias("_key")), "_key", "left_semi").dropDuplicates(["_key"])
     return kept.drop("_key").unionByName(docs.where(~words)).select(*docs.columns)
 
 
