@@ -1,15 +1,23 @@
 """Licence scans by canonical digest: entire texts, their paragraphs and their lines are hash-joined to known licences.
 
-The canonical form is lower-case, without copyright lines and punctuation, with one spelling for words that have
-several, and single blanks. A unit matches if the digest of its whole canonical form is that of a known licence.
+The canonical form is lower-case, without copyright lines (behind comment marks too) and punctuation, with one spelling
+for words that have several, and single blanks. A unit matches if the digest of its whole canonical form is that of a
+known one. A known text of several paragraphs is found where all of them are units of the text, in any order, unless
+another known text that has all of them and more is found as well.
 
 Defined cases: a null or empty text, or one of copyright lines and punctuation only, has an empty canonical form, which
 matches nothing; a licence found twice is named once; repeated rows are scanned one by one; an empty table has an empty
 result; an empty list of licences matches nothing; extra columns are ignored.
+
+`sql()` knows LICENSES only, no complete texts of several paragraphs, and drops lines that begin with `copyright` whatever
+follows; it says the same as `scan` where documents have neither, nor copyright lines behind comment marks.
 """
 
 from __future__ import annotations
 
+import re
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,6 +46,43 @@ LICENSES = (
     ("Unlicense", "public", "This is free and unencumbered software released into the public domain."),
 )
 
+_BSD = ("All rights reserved.",)
+#: (id, kind, titles, what may stand below the title) of complete texts in license_texts, which hold no title themselves.
+SHORT_TEXTS = (
+    ("BSD-3-Clause", "permissive", ("BSD 3-Clause License", "The 3-Clause BSD License", "BSD 3-Clause \"New\" or \"Revised\" License", "The BSD 3-Clause License", "The BSD License"), _BSD),
+    ("BSD-2-Clause", "permissive", ("BSD 2-Clause License", "The 2-Clause BSD License", "BSD 2-Clause \"Simplified\" License", "The BSD 2-Clause License"), _BSD),
+    ("ISC", "permissive", ("ISC License", "The ISC License", "ISC License (ISC)"), ()),
+    ("0BSD", "permissive", ("BSD Zero Clause License", "Zero-Clause BSD", "0BSD"), ()),
+    ("Unlicense", "public", ("The Unlicense", "Unlicense"), ()),
+)
+#: (id, kind) of complete texts in license_texts that begin with a paragraph of title and may end before an appendix.
+LONG_TEXTS = (("Apache-2.0", "permissive"), ("GPL-2.0", "copyleft"), ("GPL-3.0", "copyleft"), ("LGPL-2.1", "copyleft"), ("LGPL-3.0", "copyleft"), ("MPL-2.0", "copyleft"), ("CC0-1.0", "public"))
+_NOTICE = "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
+_END = "END OF TERMS AND CONDITIONS"
+
+
+def full_texts() -> tuple[tuple[str, str, str], ...]:
+    """(id, kind, text) of complete licence texts, with and without title, appendix and blank lines between list items."""
+    where, out = Path(__file__).with_name("license_texts"), []
+
+    def add(name: str, kind: str, body: str, titles: tuple[str, ...], below: tuple[str, ...] = ()) -> None:
+        for title in ("", *titles):
+            out.extend((name, kind, "\n\n".join(x for x in (title, line, body) if x)) for line in ("", *below))
+
+    add("MIT", "permissive", f"{_GRANT}, subject to the following conditions:\n\n{_NOTICE}\n\n{_AS_IS}", ("MIT License", "The MIT License", "The MIT License (MIT)"))
+    add("MIT-0", "permissive", f"{_GRANT}.\n\n{_AS_IS}", ("MIT No Attribution", "MIT No Attribution License"))
+    for name, kind, titles, below in SHORT_TEXTS:
+        body = (where / f"{name}.txt").read_text()
+        for form in dict.fromkeys((body, re.sub(r"\n\n(?=[0-9]\. )", "\n", body))):
+            for marked in dict.fromkeys((form, re.sub(r"(?m)^[0-9]\. ", "* ", form))):
+                add(name, kind, marked, titles, below)
+    for name, kind in LONG_TEXTS:
+        text = (where / f"{name}.txt").read_text()
+        for form in dict.fromkeys((text, text[: text.find(_END) + len(_END)] if _END in text else text)):
+            out += [(name, kind, form), (name, kind, re.split(r"\n[ \t]*\n", form.strip(), maxsplit=1)[1])]
+    return tuple(out)
+
+
 #: Patterns of spellings and what stands for them all.
 SPELLINGS = (
     (r"\blicen[cs]e(s|d|e|es)?\b", r"license\1"), (r"\blicensing\b", "licensing"), (r"\blicencing\b", "licensing"), (r"\bsub license", "sublicense"), (r"\bnon commercial\b", "noncommercial"),
@@ -45,13 +90,15 @@ SPELLINGS = (
     (r"\bper cent\b", "percent"), (r"\bcopyright (owner|holder)", r"copyright holder"), (r"\bhttps?\b", "http"), (r"\bv(er|ersion)? ?([0-9])", r"version \2"),
 )
 _COPYRIGHT = r"(^|\n)[ \t]*(copyright( ?\(c\))? [^\n]*|\(c\)[^\n]*|©[^\n]*)"
+#: A copyright line, with what may mark it as a comment; a line of prose or of a licence that begins with the word is none.
+_COPYRIGHT_LINE = r"(^|\n)[\p{P}\p{S} \t]*((rem|dnl)[ \t]+)?(copyright(?![ \t]+(notices?|owners?|holders?|licen[cs]es?|laws?|statements?|interests?|protection|and|or|in|is|to|of|for)\b)( ?\(c\))? [^\n]*|\(c\)[^\n]*|©[^\n]*)"
 _PUNCTUATION = r"[\p{P}\p{S}]+"
 _BLANKS = r"[ \t\r\f\x0B]+"
 
 
 def canonical_lines(text: Column) -> Column:
     """The canonical form with its line breaks."""
-    out = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), _COPYRIGHT, "\n")
+    out = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), _COPYRIGHT_LINE, "\n")
     out = F.regexp_replace(F.regexp_replace(out, _PUNCTUATION, " "), _BLANKS, " ")
     for pattern, to in SPELLINGS:
         out = F.regexp_replace(out, pattern, to.replace("\\", "$"))
@@ -70,20 +117,42 @@ def known_digests(spark: SparkSession, licenses=LICENSES) -> DataFrame:
     return one.where("length > 0").groupBy("digest").agg(F.min_by(F.struct("license", "kind", "length"), "i").alias("x")).select("digest", "x.*")
 
 
-def scan(docs: DataFrame, licenses=LICENSES) -> DataFrame:
-    """(doc_id, digest, text_license, licenses, kinds, n_notices): the licence the entire text is, and those of its paragraphs and lines."""
+def known_parts(spark: SparkSession, licenses) -> list:
+    """(license, kind, parts, hashes) of each distinct set of paragraphs, the first of equal ones: the paragraphs' digests and short hashes."""
+    rows = spark.createDataFrame([(i, *x) for i, x in enumerate(licenses)], "i int, license string, kind string, text string")
+    units = F.filter(F.transform(F.split(canonical_lines(F.col("text")), r"\n\n+"), lambda u: F.trim(F.regexp_replace(u, r"[ \n]+", " "))), lambda u: u != "")
+    form = rows.select("i", "license", "kind", F.array_distinct(units).alias("u")).where(F.size("u") > 0)
+    first = {}
+    for r in sorted(form.select("i", "license", "kind", F.transform("u", lambda u: F.sha2(u, 256)).alias("parts"), F.transform("u", lambda u: F.xxhash64(u)).alias("hashes")).collect()):  # a fixed list, not the corpus
+        first.setdefault(frozenset(r.parts), r)
+    return list(first.values())
+
+
+def scan(docs: DataFrame, licenses=None) -> DataFrame:
+    """(doc_id, digest, text_license, licenses, kinds, n_notices): the licence the entire text is, and those its paragraphs and lines hold.
+
+    licenses: (id, kind, text); LICENSES and full_texts() by default.
+    """
     spark = docs.sparkSession
+    licenses = (*LICENSES, *full_texts()) if licenses is None else licenses
     known = known_digests(spark, licenses).cache()
-    lengths = sorted(r.length for r in known.select("length").distinct().collect())  # a fixed list's, not the corpus's
+    groups = known_parts(spark, licenses)
+    sets = [frozenset(r.parts) for r in groups]
+    more = F.array(*(F.array(*(F.lit(h) for h, x in enumerate(sets) if x > s)).cast("array<int>") for s in sets or [()]))
+    name, kind = F.lit([r.license for r in groups] or [""]), F.lit([r.kind for r in groups] or [""])
+    parts = F.broadcast(spark.createDataFrame([(d, g, len(s)) for g, s in enumerate(sets) for d in s], "_d string, _g int, _n int"))
+    hashes = sorted({h for r in groups for h in r.hashes})
     form = docs.select("doc_id", canonical_lines(F.col("text")).alias("_c"))
     whole = form.select("doc_id", "_c", _digest(F.col("_c")).alias("digest"))
     units = F.concat(F.split("_c", r"\n"), F.split("_c", r"\n\n+"))
     flat = F.transform(units, lambda u: F.trim(F.regexp_replace(u, r"[ \n]+", " ")))
-    # only a unit as long as some licence needs a digest
-    parts = F.transform(F.filter(flat, lambda u: F.length(u).isin(lengths or [-1])), lambda u: F.sha2(u, 256))
-    found = whole.select("doc_id", "digest", F.explode(F.array_distinct(parts)).alias("_d")).distinct()
-    hits = found.join(known.select(F.col("digest").alias("_d"), "license", "kind"), "_d")
-    per_text = hits.groupBy("doc_id", "digest").agg(F.array_join(F.array_sort(F.collect_set("license")), ",").alias("licenses"), F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("kinds"), F.count(F.lit(1)).alias("n_notices"))
+    # only a unit that has some known paragraph's short hash needs a digest
+    found = F.transform(F.filter(flat, lambda u: F.xxhash64(u).isin(hashes) if hashes else F.lit(False)), lambda u: F.sha2(u, 256))
+    hits = whole.select("doc_id", "digest", F.explode(F.array_distinct(found)).alias("_d")).distinct().join(parts, "_d")
+    held = hits.groupBy("doc_id", "digest", "_g", "_n").agg(F.count(F.lit(1)).alias("_k")).where("_k = _n").groupBy("doc_id", "digest").agg(F.collect_set("_g").alias("_all"))
+    widest = held.select("doc_id", "digest", F.filter("_all", lambda g: ~F.arrays_overlap(F.element_at(more, g + 1), F.col("_all"))).alias("_gs"))
+    names = lambda of: F.array_join(F.array_sort(F.array_distinct(F.transform("_gs", lambda g: F.element_at(of, g + 1)))), ",")
+    per_text = widest.select("doc_id", "digest", names(name).alias("licenses"), names(kind).alias("kinds"), F.size("_gs").alias("n_notices"))
     named = whole.select("doc_id", "digest").join(known.select("digest", F.col("license").alias("text_license")), "digest", "left")
     same = named.doc_id.eqNullSafe(per_text.doc_id) & (named.digest == per_text.digest)
     return named.join(per_text, same, "left").select(

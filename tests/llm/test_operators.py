@@ -4,8 +4,10 @@ import hashlib
 import math
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -65,6 +67,30 @@ def test_license_scan(spark, none):
     assert license_scan.scan(none).count() == 0
 
 
+def test_license_scan_of_whole_files(spark):
+    read = lambda name: (Path(license_scan.__file__).with_name("license_texts") / f"{name}.txt").read_text()
+    wrap = lambda t, n: "\n\n".join(textwrap.fill(" ".join(p.split()), n) for p in t.split("\n\n"))
+    mit = "MIT License\n\nCopyright (c) 2020 Someone\n\n" + wrap(f"{license_scan._GRANT}, subject to the following conditions:\n\n{license_scan._NOTICE}\n\n{license_scan._AS_IS}", 78) + "\n"
+    bsd = "BSD 3-Clause License\n\nCopyright (c) 2020, Someone\nAll rights reserved.\n\n" + read("BSD-3-Clause")
+    isc = "Copyright 2020 A\nCopyright 2021 B\n\n" + read("ISC")
+    apache = read("Apache-2.0").replace("[yyyy] [name of copyright owner]", "2020 Someone")
+    marked = lambda t, m: "".join(f"{m} {x}".rstrip() + "\n" for x in t.splitlines())
+    texts = [
+        mit, mit.split("\n\n", 1)[1], bsd, bsd.replace("\n\n2.", "\n2.").replace("\n\n3.", "\n3.").replace("\n\n1.", "\n1."), apache, apache[: apache.find("APPENDIX")], isc, read("GPL-3.0"),
+        marked(mit, "#") + "\nimport os\n", marked(bsd, "//") + "\nint main() {}\n", "/*\n" + marked(isc, " *") + " */\n\nint x;\n", "Read this.\n\n" + read("BSD-2-Clause"),
+        "# Copyright 2020 X\n# SPDX-License-Identifier: MIT\n", "// Copyright X Ltd.\n// Licensed under the MIT License.", "rem (c) X\nReleased under the MIT License.", mit.split("\n\n")[-1], mit.replace("free of charge", "for a charge"), read("GPL-3.0")[9000:],
+    ]
+    got = {r.doc_id: (r.text_license, r.licenses, r.n_notices) for r in license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    whole = lambda x: (x, x, 1)
+    within = lambda x: (None, x, 1)
+    assert got[4] == ("Apache-2.0", "Apache-2.0", 2)  # its appendix has a line that is a notice
+    assert [got[i] for i in (0, 1, 2, 3, 5, 6, 7)] == [whole(x) for x in ("MIT", "MIT", "BSD-3-Clause", "BSD-3-Clause", "Apache-2.0", "ISC", "GPL-3.0")]
+    assert [got[i] for i in range(8, 12)] == [within(x) for x in ("MIT", "BSD-3-Clause", "ISC", "BSD-2-Clause")]
+    assert [got[i] for i in range(12, 15)] == [whole("MIT")] * 3
+    assert [got[i] for i in range(15, 18)] == [(None, "", 0)] * 3  # parts of a text, or another one, are none
+    assert [r.licenses for r in license_scan.scan(spark.createDataFrame([(1, mit)], "doc_id long, text string"), ()).collect()] == [""]
+
+
 # --- op2 ---
 
 
