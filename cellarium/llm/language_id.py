@@ -1,9 +1,10 @@
 """Hierarchical language identification: the family first, then one-versus-one linear machines within it.
 
 Features are hashed byte n-grams (1 to 3) of the whole lower-cased text. Linear support vector machines with squared
-hinge loss are fitted on a bounded sample of the labelled rows: at most FIT_ROWS rows, an equal share for each of the
-at most MAX_LANGUAGES most frequent languages, drawn by a hash of the id. Languages without an entry in FAMILIES are a
-family of their own.
+hinge loss are fitted on a sample of the labelled rows that doesn't grow with them: for each language the rows of the
+least hashes of id and text, equal rows once, as many as its equal share of FIT_ROWS but at least MIN_ROWS if it has
+them. Every language is learned, so beyond FIT_ROWS / MIN_ROWS of them the sample grows with their number, and the
+driver's time with its square. Languages without an entry in FAMILIES are a family of their own.
 
 Defined cases: a text that is null or has no letter is `und` with score 0; so is every text if nothing was learned; one
 learned language is predicted with score 1; a null id hashes as ''; repeated rows are judged one by one; extra columns
@@ -20,10 +21,11 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from cellarium.llm.common import slices
 
-FIT_ROWS, MAX_LANGUAGES = 3000, 100
+FIT_ROWS, MIN_ROWS = 3000, 10
 WIDTH = 4096
 OWN = ("lang_pred", "score", "family")
 FAMILIES = {
@@ -118,18 +120,19 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.binary())], ["lang", "x"])
 
 
-def fit(rows: DataFrame, fit_rows: int = FIT_ROWS, max_languages: int = MAX_LANGUAGES) -> Model:
+def sample(rows: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
+    """(lang, text) of the rows to learn from."""
+    rows = rows.where("text is not null and lang is not null").where(F.col("text").rlike(r"\p{L}")).select("lang", "text", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("language"), F.col("text")).alias("_h"))
+    drawn = rows.groupBy("lang", "_h").agg(F.count(F.lit(1)))  # equal rows are one before anything is ranked
+    share = max(fit_rows // max(rows.select("lang").distinct().count(), 1), MIN_ROWS)
+    last = drawn.withColumn("_k", F.row_number().over(Window.partitionBy("lang").orderBy("_h"))).where(F.col("_k") <= share).groupBy("lang").agg(F.max("_h").alias("_last"))
+    # one row for each language, as the model has
+    return rows.join(F.broadcast(last), "lang").where("_h <= _last").groupBy("lang", "_h").agg(F.min("text").alias("text")).select("lang", "text")
+
+
+def fit(rows: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     """rows: doc_id, text, lang; those with a null text or lang teach nothing."""
-    rows = rows.where("text is not null and lang is not null").select("doc_id", "text", "lang")
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
-    if not counts:
-        return Model()
-    share = fit_rows // len(counts)
-    chance = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("language")), F.lit(1 << 30)) / (1 << 30)
-    wanted = F.lit(False)
-    for r in counts:
-        wanted |= (F.col("lang") == r["lang"]) & (chance < share / r["count"])
-    got = rows.where(wanted).mapInArrow(_sampled, "lang string, x binary").orderBy("lang", "x").limit(2 * fit_rows).collect()
+    got = sample(rows, fit_rows).mapInArrow(_sampled, "lang string, x binary").orderBy("lang", "x").collect()
     if not got:
         return Model()
     x = np.array([np.frombuffer(r.x, "<f4") for r in got])

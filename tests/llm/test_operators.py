@@ -254,6 +254,26 @@ def test_language_id(spark, none):
     assert language_id.predict(none, model).count() == 0
 
 
+def test_every_language_is_learned(spark):
+    rnd = random.Random(4)
+    words = {f"x{k:03d}": ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(6)] for k in range(104)}
+    rows = [(1000 * k + i, " ".join(words[lang]), lang) for k, lang in enumerate(words) for i in range(3)]
+    rare = ("x103", " ".join(words["x103"]))
+    df = spark.createDataFrame([r for r in rows if r[2] != rare[0]] + [(0, rare[1], rare[0])], "doc_id long, text string, lang string")
+    model = language_id.fit(df)
+    assert sorted(v for f in model.languages.values() for v in f) == sorted(words)
+    assert language_id.predict(spark.createDataFrame([(rare[1],)], "text string"), model).first().lang_pred == rare[0]
+
+
+def test_language_sample_of_repeated_ids(spark):
+    # all rows of aa have one id or none, and most are equal; zz comes after them in any order by language
+    rows = [(i, f"aba {k}", "aa") for i in (None, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12) for k in range(60)] + [(7, "same aba", "aa")] * 500 + [(k, f"zyz {k}", "zz") for k in range(4)] + [(90 + k, str(k), "zz") for k in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = Counter(r.lang for r in language_id.sample(df, 40).collect())
+    assert got == {"aa": 20, "zz": 4}  # zz's other rows have no letter
+    assert sorted(language_id.fit(df, 40).languages["only zz"]) == ["zz"]
+
+
 def test_quality_classifier(spark, none):
     rnd = random.Random(9)
     rows = [(i, prose(60, rnd) if i % 3 else " ".join(w + "$$$" for w in prose(60, rnd).split()), 1 if i % 3 else 0) for i in range(300)]
