@@ -215,6 +215,21 @@ def test_url_filters_of_targets_that_are_no_rows(spark):
     assert verdicts(df.where("page_id <> 5")) == {1: "block", 2: "allow", 3: "block", 4: "block", 6: "allow", 7: "block", 8: "block"}
 
 
+def test_url_filters_of_pages_with_several_links(spark):
+    tags = lambda *x: "<html><head>" + "\n".join(x) + "</head></html>"
+    canon, refresh = '<link rel="canonical" href="{}">'.format, '<META http-equiv="refresh" content="0; url={}">'.format
+    block, allow, free = "http://a.example.com/en/1", "http://example.com/en/7", "https://free.test/"
+    rows = [
+        (1, "https://one.test/", tags("<link rel=canonical>", canon(block))), (2, "https://two.test/", tags(canon("mailto:x@y.test"), canon(free), canon(block))), (3, "https://three.test/", tags('<meta http-equiv=refresh content="5">', refresh(block))),
+        (4, "https://four.test/", tags(canon(block), refresh(free), refresh(allow))), (5, "https://five.test/", tags(canon("https://gone.test/"), canon("https://gone.test/"))), (6, "https://free.test/", None),
+    ]
+    got = lambda ids: {r.page_id: r.verdict for r in url_filters.judge(spark.createDataFrame([r for r in rows if r[0] in ids], "page_id long, url string, html string")).collect()}
+    assert [got([i])[i] for i in (1, 2, 3, 4, 5, 6)] == ["block", "block", "block", "allow", "allow", "allow"]
+    # all that block and allow have in common with free.test is one component
+    assert got(range(1, 7)) == {i: "allow" for i in range(1, 7)}
+    assert got((1, 2, 3, 6)) == {1: "block", 2: "block", 3: "block", 6: "block"}
+
+
 def test_components(spark):
     rnd = random.Random(5)
     edges = [(rnd.randint(0, 60), rnd.randint(0, 60)) for _ in range(45)] + [(100 + i, 101 + i) for i in range(40)] + [(200, i) for i in range(201, 240)] + [(7, 7), (None, 3)]
