@@ -9,7 +9,8 @@
 4. Each bucket has a leader, and each node is compared with the leader it shares most buckets with: bound by points,
    then the sets themselves. Found links join nodes into components; buckets of one component are done. After LEADER_ROUNDS of this, the points of each bucket that is
    left are put into an R-tree, and each is searched for those of other components; what the bounds let through is
-   compared by sets. A link that this passes over lies within a component, so components are exact.
+   compared by sets. A link that this passes over lies within a component, so components are exact. `links` gives every
+link instead: it leaves out the leaders, and searches each bucket for all nodes.
 
 Nothing is capped: a bucket's size only decides how its pairs are found. Shingles are compared by 64-bit hashes.
 
@@ -334,5 +335,23 @@ def representatives(docs: DataFrame, percent: int = PERCENT, k: int = K, heavy_s
     return kept.drop("_key").unionByName(docs.where(~words)).select(*docs.columns)
 
 
+def links(docs: DataFrame, percent: int = PERCENT, k: int = K, heavy_share: float = HEAVY) -> tuple[DataFrame, DataFrame]:
+    """All links, exactly: (a_id, b_id) of texts with different shingle sets, one id for each set and each pair once, and (doc_id, n_links) for each row.
+
+    A row's n_links are the other rows it is linked to, copies included; one without words has none.
+    """
+    bound_batches(docs.sparkSession)
+    join = _Join(docs, percent, k, heavy_share)
+    join.verify(join.searches(), "trees")  # each node is a component of its own still, so nothing is passed over
+    copies = join.profiles.where("n > 0").groupBy("sig").agg(F.count(F.lit(1)).alias("_k"))
+    nodes = join.nodes.select("node", "doc_id", "sig").join(copies, "sig")
+    a, b = (nodes.select(F.col("node").alias(x), F.col("doc_id").alias(f"{x}_id")) for x in "ab")
+    both = join.links.unionByName(join.links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    others = both.join(nodes.select(F.col("node").alias("b"), "_k"), "b").groupBy("a").agg(F.sum("_k").alias("_o"))
+    each = nodes.join(others.withColumnRenamed("a", "node"), "node", "left").select("sig", (F.coalesce("_o", F.lit(0)) + F.col("_k") - 1).alias("n_links"))
+    rows = join.profiles.select("doc_id", F.when(F.col("n") > 0, F.col("sig")).alias("sig"))
+    return join.links.join(a, "a").join(b, "b").select("a_id", "b_id"), rows.join(each, "sig", "left").select("doc_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -443,6 +443,21 @@ def test_representatives(docs):
     assert sum(kept.values()) == len(empty) + len({c for d, n, c in classes_by_hand(rows) if n})
 
 
+@pytest.mark.parametrize("heavy", [0.002, 0.5])
+def test_all_links(spark, none, heavy):
+    words = [f"w{i}" for i in range(200)]
+    chain = [(i, " ".join(words[2 * i : 2 * i + 60])) for i in range(12)]
+    rows = [*chain, *((50 + i, chain[3][1]) for i in range(3)), *((100 + i, " ".join(words[:40] + [f"own{i}"])) for i in range(6)), (200, "of its own"), (201, None), (202, " "), (0, chain[0][1])]
+    sets = [frozenset(zip(*[(t or "").split()[j:] for j in range(5)])) or frozenset([tuple((t or "").split())]) - {()} for _, t in rows]
+    near = lambda x, y: bool(x and y) and 100 * len(x & y) >= 75 * len(x | y)
+    pairs, counts = jaccard_join.links(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), heavy_share=heavy)
+    assert multiset(counts.collect()) == multiset((d, sum(near(sets[i], t) for j, t in enumerate(sets) if j != i)) for i, (d, _) in enumerate(rows))
+    first = {x: min(d for (d, _), y in zip(rows, sets) if x == y) for x in set(sets) if x}
+    want = Counter(frozenset((first[x], first[y])) for x in first for y in first if first[x] < first[y] and near(x, y))
+    assert len(want) > len(first) and Counter(frozenset(p) for p in pairs.collect()) == want  # more than span the components
+    assert [x.count() for x in jaccard_join.links(none)] == [0, 0]
+
+
 def test_r_tree():
     rng = np.random.default_rng(6)
     sizes = rng.integers(5, 90, 300)
