@@ -9,29 +9,33 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own_dir: list[str] = []
 
 #: Bytes of text that a vectorised step handles at once; one longer text is handled whole.
-SLICE_BYTES = 2 << 20
-
-
-#: Rows that Spark hands to Python at once; long values make thousands of them too many.
-BATCH_ROWS = 1000
+SLICE_BYTES = 1 << 18
+#: Bytes that Spark hands to Python at once; a longer value is handed over alone.
+BATCH_BYTES = 4 << 20
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Lower the session's Arrow batch to BATCH_ROWS rows, which bounds what a worker holds."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    """Lower the session's Arrow batch to BATCH_BYTES, which bounds what a worker holds whatever the rows' length."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark.conf.get(key).rstrip("bB")) <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a private one only where the session names none, as in tests."""
+    """The folder that all executors share. Only where one machine does everything, as in tests, it may be a private one."""
     if found := spark.conf.get("spark.checkpoint.dir", None):
         return found.rstrip("/")
+    if (named := spark.sparkContext._jsc.sc().getCheckpointDir()).isDefined():
+        return named.get().rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _own_dir:
         _own_dir.append("file://" + tempfile.mkdtemp(prefix="cellarium-"))
     return _own_dir[0]
@@ -92,3 +96,16 @@ def slices(batch: pa.RecordBatch, col: str, limit: int = SLICE_BYTES) -> Iterato
 
 def binary_array(parts: list[bytes]) -> pa.Array:
     return pa.array(parts, pa.binary())
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def columns_of(df: DataFrame) -> list[Column]:
+    """All columns of df, whatever their names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]

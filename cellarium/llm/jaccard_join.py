@@ -1,22 +1,28 @@
-"""Exact n-gram Jaccard join by count vectors in R-trees; its links' components are the near-duplicate classes.
+"""Exact n-gram Jaccard join by R-trees of count vectors; its links' components are the near-duplicate classes.
 
 1. Texts of equal shingle sets are one node, so copies never meet.
-2. Each set is hashed into groups (about one shingle each); the groups' counts are its point. The summed minima of two
-   points bound the overlap of their sets from above, and those of a point and a box's upper corner bound it for all
-   points in the box.
-3. Two sets of Jaccard similarity t or more share one of the first (1 - t) n + 1 of their shingles, in any order that
-   is the same for all. Shingles in over HEAVY of the documents come last in it. Nodes meet in the buckets of those.
-4. Each bucket has a leader, and each node is compared with the leader it shares most buckets with: bound by points,
-   then the sets themselves. Found links join nodes into components; buckets of one component are done. After LEADER_ROUNDS of this, the points of each bucket that is
-   left are put into an R-tree, and each is searched for those of other components; what the bounds let through is
-   compared by sets. A link that this passes over lies within a component, so components are exact. `links` gives every
-link instead: it leaves out the leaders, and searches each bucket for all nodes.
+2. A set's shingles are hashed into groups (2 to 4 in each, DIMS groups at most); the groups' counts are its point. The
+   summed minima of two points bound the overlap of their sets from above; those of two boxes' upper corners bound it for
+   all points in the boxes.
+3. An R-tree can't be kept in one place, so it is split where linked sets must meet: two sets of similarity t or more
+   share one of the first (1 - t) n + 1 of their shingles, in any order that is the same for all. Shingles in over HEAVY
+   of the documents come last in it. The nodes of a shingle, ordered by size and cut where sizes leave a gap that no link
+   can cross, are a bucket. Buckets of equal nodes are one.
+4. A bucket of up to BLOCK nodes is one R-tree, joined with itself level by level; pairs that its bounds let through are
+   compared by their sets, which alone makes links.
+5. A larger bucket is dealt into blocks of that size. Of each block's tree only a spanning forest of the pairs with the
+   widest bounds is compared. What that links is one component, of which one node goes on to the next turn's blocks, until
+   a turn links nothing. Then every node outside a bucket's largest component is searched for in trees of all the bucket's
+   nodes of a size that fits, and pairs of different components are compared. So a large class costs about as many
+   comparisons as it has nodes, a link that is passed over lies within a component, and components are exact. `links`
+   leaves out the turns and gives every link.
 
 Nothing is capped: a bucket's size only decides how its pairs are found. Shingles are compared by 64-bit hashes.
 
 Defined cases: a text that is null or without words has n_shingles 0, and itself as its component; a text of fewer than
 `k` words has one shingle; a null id counts as any other for links, and a component's id is its least id that is not
-null; repeated rows are copies; an empty table has an empty result; extra columns are ignored.
+null; repeated rows are copies; a very long text is hashed in parts; an empty table has an empty result; extra columns
+are ignored, and `representatives` keeps them whatever their names.
 """
 
 from __future__ import annotations
@@ -27,17 +33,22 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from cellarium.llm.common import bound_batches, discard, materialize, slices, text_buffer
+from cellarium.llm.common import bound_batches, columns_of, discard, fresh, materialize, slices, text_buffer
 from cellarium.llm.components import connected_components
-from cellarium.llm.textvec import BLANK, LOWER, SpanHash, mix, runs, windows
+from cellarium.llm.textvec import BLANK, LOWER, hash_runs, mix, runs, windows
 
 K, PERCENT = 5, 75
 #: A shingle in more than this share of the documents is heavy; sets of s shingles on average have at most s / HEAVY such.
 HEAVY = 0.002
-LEADER_ROUNDS = 3
-LEAF = 16
+#: Heavy shingles that are broadcast at most; the share is raised where there could be more.
+MOST_HEAVY = 1 << 20
+#: Nodes in a small bucket or a block; leaves of a tree's node; groups of a point; parts of a heavy shingle's bucket.
+BLOCK, LEAF, DIMS, SALTS = 64, 16, 2048, 64
+#: Keys that a task gathers before it counts them, nodes that it remembers, and cells of points that it compares at once.
+GATHER, SEEN, CELLS = 1 << 21, 100_000, 1 << 21
+#: Rows that are asked for by a broadcast of their hashes; more are joined.
+ASKED_ROWS = 1 << 20
 
 
 def shingle_sets(arr: pa.Array, k: int = K) -> list[np.ndarray]:
@@ -45,7 +56,7 @@ def shingle_sets(arr: pa.Array, k: int = K) -> list[np.ndarray]:
     raw, offsets = text_buffer(arr)
     buf = LOWER[raw]
     starts, ends, first = runs(~BLANK[buf], offsets)
-    h = SpanHash(buf)(starts, ends)
+    h = hash_runs(buf, starts, ends)
     w, at = windows(h, first, k)
     cut = np.searchsorted(at, first)
     out = []
@@ -64,125 +75,354 @@ def signature(s: np.ndarray) -> bytes:
 
 
 def point(s: np.ndarray) -> np.ndarray:
-    """Counts of the set's hash groups; there are a power of two of them, about as many as shingles."""
-    size = 1 << max(3, int(len(s) - 1).bit_length())
+    """Counts of the set's hash groups, 255 for 255 or more; there are a power of two of them, for 2 to 4 shingles each."""
+    size = min(DIMS, 1 << max(3, int(len(s) - 1).bit_length() - 2))
     return np.minimum(np.bincount((s & np.uint64(size - 1)).astype(np.int64), minlength=size), 255).astype(np.uint8)
 
 
 def fold(p: np.ndarray, size: int) -> np.ndarray:
-    """The point of the same set in fewer groups. A count of 255 may stand for more and stays an upper bound."""
-    if len(p) == size:
-        return p.astype(np.int32)
+    """The point of the same set in fewer groups, without the bound of a byte: 255 stands for any number."""
     wide = np.where(p == 255, 1 << 20, p.astype(np.int32))
-    return wide.reshape(-1, size).sum(0)
+    return wide if len(p) == size else wide.reshape(-1, size).sum(0, dtype=np.int32)
 
 
 def linked(n: int, m: int, overlap: int, percent: int = PERCENT) -> bool:
     return 100 * overlap >= percent * (n + m - overlap)
 
 
-def may_link(p: np.ndarray, n: int, q: np.ndarray, m: int, percent: int = PERCENT) -> bool:
-    size = min(len(p), len(q))
-    a, b = fold(p, size), fold(q, size)
-    most = int(np.minimum(np.where(a == 255, 1 << 20, a), np.where(b == 255, 1 << 20, b)).sum())
-    return linked(n, m, min(most, n, m), percent)
-
-
 class RTree:
-    """Points of one dimension count, packed by set size into leaves and boxes; boxes keep their upper corner and sizes."""
+    """Points of one dimension count, packed by set size into boxes of LEAF; boxes keep their upper corner and sizes."""
 
     def __init__(self, points: np.ndarray, sizes: np.ndarray, leaf: int = LEAF):
-        self.order = np.lexsort((points.argmax(1), sizes))
-        self.points, self.sizes, self.leaf = points[self.order], sizes[self.order], leaf
-        self.levels = []
-        top, low, high = self.points, self.sizes, self.sizes
-        while len(top) > 1:
+        self.order = np.lexsort((points.argmax(1), sizes)) if len(sizes) > leaf else np.arange(len(sizes))
+        self.leaf = leaf
+        top = points[self.order]
+        low = high = sizes[self.order]
+        self.levels = [(top, low, high)]
+        while len(top) > leaf:
             cut = np.arange(0, len(top), leaf)
             top, low, high = np.maximum.reduceat(top, cut), np.minimum.reduceat(low, cut), np.maximum.reduceat(high, cut)
             self.levels.append((top, low, high))
 
-    def search(self, p: np.ndarray, n: int, percent: int = PERCENT) -> np.ndarray:
-        """Indices of points whose sets may be linked with one of point p and size n."""
-        at = np.zeros(1, np.int64)
-        for top, low, high in reversed(self.levels):
-            at = at[at < len(top)]
-            size = np.maximum(low[at], -(-percent * n // 100))  # the least set size in the box that can be linked
-            most = np.minimum(np.minimum(top[at], p).sum(1), np.minimum(n, high[at]))
-            at = at[(100 + percent) * most >= percent * (n + size)] if len(at) else at
-            at = at[(100 * np.minimum(n, high[at]) >= percent * n) & (100 * n >= percent * low[at])]
-            at = (at[:, None] * self.leaf + np.arange(self.leaf)).ravel()
-        at = at[at < len(self.points)]
-        most = np.minimum(np.minimum(self.points[at], p).sum(1), np.minimum(n, self.sizes[at]))
-        return self.order[at[(100 + percent) * most >= percent * (n + self.sizes[at])]]
-
-
-def _heavy_in(share: float, k: int):
+    def _children(self, at: np.ndarray, level: int) -> np.ndarray:
+        """For each box of `at`, its children in the level below, -1 where it has fewer."""
+        out = at[:, None] * self.leaf + np.arange(self.leaf)
+        return np.where(out < len(self.levels[level - 1][0]), out, -1)
+
+    def join(self, other: RTree | None = None, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(i, j, bound on the overlap) of points of this tree and the other that may be linked; without another, each pair of this one once."""
+        own, other = other is None, other or self
+        x, y = len(self.levels) - 1, len(other.levels) - 1
+        i, j = (v.ravel() for v in np.meshgrid(np.arange(len(self.levels[x][0])), np.arange(len(other.levels[y][0])), indexing="ij"))
+        while True:
+            if own:
+                keep = i <= j if x else i < j
+                i, j = i[keep], j[keep]
+            i, j, most = self._near(x, i, other, y, j, percent)
+            if x == 0 and y == 0:
+                return self.order[i], other.order[j], most
+            # both trees go down a level, or the one that has more
+            down = (x >= y, y >= x)
+            a = self._children(i, x) if down[0] else i[:, None]
+            b = other._children(j, y) if down[1] else j[:, None]
+            i, j = (v.ravel() for v in np.broadcast_arrays(a[:, :, None], b[:, None, :]))
+            x, y = x - down[0], y - down[1]
+            real = (i >= 0) & (j >= 0)
+            i, j = i[real], j[real]
+
+    def _near(self, x: int, i: np.ndarray, other: RTree, y: int, j: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of boxes (or points) i and j, those whose bounds let a link through, with the bound on the overlap."""
+        (p, low, high), (q, floor, ceiling) = self.levels[x], other.levels[y]
+        fits = (100 * high[i] >= percent * floor[j]) & (100 * ceiling[j] >= percent * low[i])
+        i, j = i[fits], j[fits]
+        most = np.minimum(high[i], ceiling[j])
+        step = max(1, CELLS // p.shape[1])
+        for a in range(0, len(i), step):
+            s = slice(a, a + step)
+            most[s] = np.minimum(most[s], np.minimum(p[i[s]], q[j[s]]).sum(1, dtype=np.int64))
+        near = (100 + percent) * most >= percent * (low[i] + floor[j])
+        return i[near], j[near], most[near]
+
+
+def _by_groups(points: list[np.ndarray]) -> dict[int, np.ndarray]:
+    dims = np.array([len(p) for p in points])
+    return {d: np.flatnonzero(dims == d) for d in np.unique(dims).tolist()}
+
+
+def _tree(points: list[np.ndarray], n: np.ndarray, some: np.ndarray, size: int) -> RTree:
+    if len(points[some[0]]) == size:
+        return RTree(_counts(np.array([points[i] for i in some])), n[some])
+    return RTree(np.array([fold(points[i], size) for i in some]), n[some])
+
+
+def near_pairs(points: list[np.ndarray], n: np.ndarray, percent: int = PERCENT, others: tuple[list[np.ndarray], np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, bound on the overlap) of the sets with these points and sizes that may be linked with others; without others, each pair of these once.
+
+    There is a tree for each number of groups; points are folded to meet those of fewer groups.
+    """
+    mine = _by_groups(points)
+    theirs, m, into = (mine, n, points) if others is None else (_by_groups(others[0]), others[1], others[0])
+    out = [(np.zeros(0, np.int64),) * 3]
+    for d, a in mine.items():
+        for e, b in theirs.items():
+            low, high = max(n[a].min(), m[b].min()), min(n[a].max(), m[b].max())
+            if 100 * high < percent * low or (others is None and d > e):
+                continue
+            size = min(d, e)
+            if others is None and d == e:
+                i, j, most = _tree(points, n, a, size).join(percent=percent)
+            else:
+                i, j, most = _tree(points, n, a, size).join(_tree(into, m, b, size), percent)
+            out.append((a[i], b[j], most))
+    return tuple(np.concatenate(v) for v in zip(*out))
+
+
+def _counts(flat: np.ndarray) -> np.ndarray:
+    return np.where(flat == 255, 1 << 20, flat.astype(np.int32)) if (flat == 255).any() else flat
+
+
+def spanning_forest(i: np.ndarray, j: np.ndarray, most: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """Indices of pairs that connect all that the pairs connect, those of the greatest bound on similarity first."""
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := parent.get(x, x)) != x:
+            parent[x] = x = parent.get(up, up)
+        return x
+
+    kept = []
+    for at in np.argsort(-(most / (total - most)), kind="stable").tolist():
+        a, b = find(int(i[at])), find(int(j[at]))
+        if a != b:
+            parent[a] = b
+            kept.append(at)
+    return np.array(kept, np.int64)
+
+
+# --- tasks ---
+
+
+def _fixed(rows: np.ndarray) -> pa.Array:
+    """A binary array of the 16-byte rows of an (n, 2) array of numbers."""
+    n = len(rows)
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((np.arange(n + 1) * 16).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(rows))])
+
+
+def _numbers(arr: pa.Array) -> np.ndarray:
+    """The reverse: (n, 2) numbers of n binary values of 16 bytes."""
+    return text_buffer(arr)[0].view(np.uint64).reshape(-1, 2) if len(arr) else np.zeros((0, 2), np.uint64)
+
+
+def _profiler(share: float, k: int):
+    """One row for each text, and rows (without sig) of the shingles that may be heavy with the number of texts that hold them."""
+
+    def counted(sets: list[np.ndarray], texts: int) -> pa.RecordBatch:
+        key, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_counts=True)
+        many = n >= max(2, share * texts / 2)
+        lists = [pa.array([v.tolist()], pa.list_(pa.int64())) for v in (key[many].view(np.int64), n[many].astype(np.int64))]
+        return pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([0], pa.int32()), pa.nulls(1, pa.binary()), *lists], names)
+
+    names = ["doc_id", "row", "n", "sig", "keys", "counts"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, texts, size = [], 0, 0
         for batch in batches:
             for part in slices(batch, "text"):
-                sets = [s for s in shingle_sets(part.column("text"), k) if len(s)]
-                if not sets:
-                    continue
-                key, n = np.unique(np.concatenate(sets), return_counts=True)
-                many = n >= max(2, share * len(sets) / 2)
-                yield pa.RecordBatch.from_arrays([pa.array(key[many].view(np.int64)), pa.array(n[many].astype(np.int64))], ["key", "n"])
+                sets = shingle_sets(part.column("text"), k)
+                none = pa.nulls(len(sets), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("row"), pa.array([len(s) for s in sets], pa.int32()), pa.array([signature(s) for s in sets], pa.binary()), none, none], names)
+                held += sets
+                texts, size = texts + len(sets), size + sum(map(len, sets))
+                if size > GATHER:
+                    yield counted(held, texts)
+                    held, texts, size = [], 0, 0
+        if held:
+            yield counted(held, texts)
 
     return run
 
 
-def heavy_shingles(docs: DataFrame, share: float = HEAVY, k: int = K) -> np.ndarray:
-    """Hashes of shingles in over `share` of the documents, rarer ones first. Their number is bounded by a set's mean size over the share."""
-    least = max(8, int(share * docs.count()))
-    sums = docs.select("text").mapInArrow(_heavy_in(share, k), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    return np.array([r.key for r in sums.orderBy("n", "key").toLocalIterator()], np.int64).view(np.uint64)
-
-
-def _prefix(s: np.ndarray, known: np.ndarray, rank: np.ndarray, percent: int) -> np.ndarray:
+def prefix(s: np.ndarray, known: np.ndarray, rank: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, int]:
+    """The first shingles of a set, rarer ones first, and how many of them (at the end) are heavy. known: heavy shingles in order of hash, rank: their order."""
     if not len(s):
-        return s
-    take = len(s) - -(-percent * len(s) // 100) + 1
+        return s, 0
+    take, plain = len(s) - -(-percent * len(s) // 100) + 1, len(s)
     if len(known):
         at = np.minimum(np.searchsorted(known, s), len(known) - 1)
         heavy = known[at] == s
         if heavy.any():
+            plain -= int(heavy.sum())
             s = np.concatenate([s[~heavy], s[heavy][np.argsort(rank[at[heavy]], kind="stable")]])
-    return s[:take]
+    return s[:take], max(0, take - plain)
+
 
+def _placer(bc, k: int, percent: int):
+    """A row for each node that the task hasn't seen yet: its prefix and its point."""
 
-def _profiler(bc, k: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heavy = bc.value
         rank = np.argsort(heavy)
         known = heavy[rank]
+        seen: set[bytes] = set()
         for batch in batches:
             for part in slices(batch, "text"):
-                sets = shingle_sets(part.column("text"), k)
-                heads = [_prefix(s, known, rank, percent) for s in sets]
-                ends = np.cumsum([0, *map(len, heads)]).astype(np.int32)
+                new = {}
+                for s in shingle_sets(part.column("text"), k):
+                    if len(s) and (sig := signature(s)) not in seen:
+                        new[sig] = s
+                        seen.add(sig)
+                if len(seen) > SEEN:  # a node may come again; equal ones are joined later
+                    seen.clear()
+                heads = [prefix(s, known, rank, percent) for s in new.values()]
+                ends = np.cumsum([0, *(len(h) for h, _ in heads)]).astype(np.int32)
+                flat = np.concatenate([np.zeros(0, np.uint64), *(h for h, _ in heads)]).view(np.int64)
                 yield pa.RecordBatch.from_arrays([
-                    part.column("doc_id"), part.column("th"), pa.array([len(s) for s in sets], pa.int32()), pa.array([signature(s) for s in sets], pa.binary()),
-                    pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(heads).view(np.int64) if heads else np.zeros(0, np.int64))), pa.array([point(s).tobytes() if len(s) else b"" for s in sets], pa.binary()),
-                ], ["doc_id", "th", "n", "sig", "prefix", "point"])
+                    pa.array(list(new), pa.binary()), pa.array([len(s) for s in new.values()], pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)),
+                    pa.array([h for _, h in heads], pa.int32()), pa.array([point(s).tobytes() for s in new.values()], pa.binary()),
+                ], ["sig", "n", "prefix", "n_heavy", "point"])
 
     return run
 
 
-def _sets_of(k: int):
+def _buckets(percent: int, block: int):
+    """Rows (key, tag, sig) in order of key and tag -> buckets of two or more nodes. Those of over `block` nodes and a heavy shingle's are big and come in parts.
+
+    tag: part of a heavy shingle's bucket (from 1; else 0) << 32 | n. h1, h2: a hash of all nodes; the key of a big one and 0.
+    """
+
+    def rows_of(big: bool, h1: np.ndarray, h2: np.ndarray, size: np.ndarray, sig: np.ndarray) -> pa.RecordBatch:
+        ends = pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32))
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(size), big)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.ListArray.from_arrays(ends, _fixed(sig))], ["big", "h1", "h2", "members"])
+
+    def made(key: np.ndarray, tag: np.ndarray, sig: np.ndarray, hot: tuple[int, int] | None) -> Iterator[pa.RecordBatch]:
+        """hot: key and part of what is big whatever is left of it here."""
+        part, n = tag >> 32, tag & 0xFFFFFFFF
+        cut = np.ones(len(key), bool)
+        cut[1:] = (key[1:] != key[:-1]) | (part[1:] != part[:-1]) | ((part[1:] == 0) & (100 * n[:-1] < percent * n[1:]))
+        group = np.cumsum(cut) - 1
+        turn = np.lexsort((sig[:, 1], sig[:, 0], group))
+        group, sig = group[turn], sig[turn]
+        new = np.ones(len(group), bool)  # a node may come from several tasks
+        new[1:] = (group[1:] != group[:-1]) | (sig[1:] != sig[:-1]).any(1)
+        group, sig = group[new], sig[new]
+        size, key, part = np.bincount(group), key[cut], part[cut]
+        big = (part > 0) | (size > block)
+        if hot is not None:
+            big |= (key == hot[0]) & (part == hot[1])
+        small = ~big & (size > 1)
+        if small.any():
+            rows = np.repeat(small, size)
+            at = np.concatenate([[0], np.cumsum(size[small])[:-1]])
+            one = mix(sig[rows, 0] ^ mix(sig[rows, 1]))
+            yield rows_of(False, np.add.reduceat(one, at), np.add.reduceat(mix(one ^ np.uint64(0x5DEECE66D)), at), size[small], sig[rows])
+        if big.any():
+            yield rows_of(True, key[big].view(np.uint64), np.zeros(int(big.sum()), np.uint64), size[big], sig[np.repeat(big, size)])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, hot = None, None
         for batch in batches:
-            for part in slices(batch, "text"):
-                rows = [(node, s.tobytes()) for node, sig, s in zip(part.column("node").to_pylist(), part.column("sig").to_pylist(), shingle_sets(part.column("text"), k)) if signature(s) == sig]
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["node", "members"])
+            if not batch.num_rows:
+                continue
+            now = (batch.column("key").to_numpy(), batch.column("tag").to_numpy(), _numbers(batch.column("sig")))
+            key, tag, sig = now = now if held is None else tuple(np.concatenate(v) for v in zip(held, now))
+            begins = np.flatnonzero((key[1:] != key[:-1]) | (tag[1:] >> 32 != tag[:-1] >> 32))
+            last = int(begins[-1]) + 1 if len(begins) else 0
+            if last:
+                yield from made(key[:last], tag[:last], sig[:last], hot)
+            held = tuple(v[last:] for v in now)
+            if len(held[0]) > GATHER >> 6:  # of one key, and the rest of it is to come
+                hot = (int(held[0][0]), int(held[1][0]) >> 32)
+                yield from made(*held, hot)
+                held = None
+        if held is not None:
+            yield from made(*held, hot)
 
     return run
 
 
-def _bounded(percent: int):
+def _pairs_of(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    """Pairs (a, b) of nodes, the lesser first."""
+    swap = (a[:, 0] > b[:, 0]) | ((a[:, 0] == b[:, 0]) & (a[:, 1] > b[:, 1]))
+    return pa.RecordBatch.from_arrays([_fixed(np.where(swap[:, None], b, a)), _fixed(np.where(swap[:, None], a, b))], ["a", "b"])
+
+
+def _points(arr: pa.Array) -> list[np.ndarray]:
+    raw, offsets = text_buffer(arr)
+    return [raw[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+
+
+def _searched(percent: int, forest: bool):
+    """Rows of one bucket or block (h1, h2) stand together; its pairs come from its trees. forest: only those that connect all others."""
+
+    def pairs(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        h = np.stack([table.column(c).to_numpy() for c in ("h1", "h2")], 1)
+        starts = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]).any(1)])).tolist()
+        n, sig, points = table.column("n").to_numpy().astype(np.int64), _numbers(table.column("sig").combine_chunks()), _points(table.column("point"))
+        left, right = [], []
+        for a, b in zip(starts, [*starts[1:], len(n)]):
+            i, j, most = near_pairs(points[a:b], n[a:b], percent)
+            if forest:
+                kept = spanning_forest(i, j, most, n[a:b][i] + n[a:b][j])
+                i, j = i[kept], j[kept]
+            left.append(a + i)
+            right.append(a + j)
+        yield _pairs_of(sig[np.concatenate(left)], sig[np.concatenate(right)])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            p, q = (batch.column(c).to_pylist() for c in ("p", "q"))
-            good = [may_link(np.frombuffer(x, np.uint8), n, np.frombuffer(y, np.uint8), m, percent) for x, n, y, m in zip(p, batch.column("n").to_pylist(), q, batch.column("m").to_pylist())]
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+            if not batch.num_rows:
+                continue
+            h1, h2 = (batch.column(c).to_numpy() for c in ("h1", "h2"))
+            begins = np.flatnonzero((h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1]))
+            last = int(begins[-1]) + 1 if len(begins) else 0
+            if held and (held[-1].column("h1")[-1].as_py(), held[-1].column("h2")[-1].as_py()) != (int(h1[0]), int(h2[0])) or last:
+                whole = [*held, batch.slice(0, last)]
+                if sum(x.num_rows for x in whole):
+                    yield from pairs(pa.Table.from_batches(whole))
+                held = []
+            held.append(batch.slice(last))
+        if held:
+            yield from pairs(pa.Table.from_batches(held))
+
+    return run
+
+
+def _probed(percent: int):
+    """Rows of one block (key, kind, block) stand together, its nodes (side 0) before those (side 1) that are searched for among them: pairs of different components."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("key", "kind", "block", "side")], 1)
+            starts = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(1)])).tolist()
+            for a, b in zip(starts, [*starts[1:], len(keys)]):
+                rows = batch.slice(a, b - a)
+                now = (_numbers(rows.column("sig")), _numbers(rows.column("comp")), rows.column("n").to_numpy().astype(np.int64), _points(rows.column("point")))
+                if tuple(keys[a, :3]) != key:
+                    key, held = tuple(keys[a, :3]), None
+                if keys[a, 3] == 0:
+                    held = now if held is None else (*(np.concatenate(v) for v in zip(held[:3], now[:3])), held[3] + now[3])
+                elif held is not None:
+                    for at in range(0, b - a, 512):
+                        sig, comp, n, points = (v[at : at + 512] for v in now)
+                        i, j, _ = near_pairs(points, n, percent, (held[3], held[2]))
+                        other = (comp[i] != held[1][j]).any(1)
+                        yield _pairs_of(sig[i[other]], held[0][j[other]])
+
+    return run
+
+
+def _sets_of(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
+        for batch in batches:
+            for part in slices(batch, "text"):
+                rows = {sig: s.tobytes() for s in shingle_sets(part.column("text"), k) if (sig := signature(s)) not in seen}
+                seen = set(rows) | (seen if len(seen) < SEEN else set())
+                yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.binary()), pa.array(list(rows.values()), pa.binary())], ["sig", "members"])
 
     return run
 
@@ -201,154 +441,155 @@ def _verified(percent: int):
     return run
 
 
-def _searched(percent: int):
-    """Rows of one bucket stand together; a bucket's pairs come from an R-tree for each dimension its points have."""
-
-    def pairs(nodes: list, sizes: list, comps: list, points: list) -> set[tuple[int, int]]:
-        out: set[tuple[int, int]] = set()
-        size = min(map(len, points))
-        flat = np.array([fold(p, size) for p in points])
-        flat[flat == 255] = 1 << 20
-        n = np.array(sizes, np.int64)
-        tree = RTree(flat, n)
-        comp = np.array(comps)
-        for i in range(len(nodes)):
-            near = tree.search(flat[i], int(n[i]), percent)
-            for j in near[comp[near] != comp[i]].tolist():
-                out.add((min(nodes[i], nodes[j]), max(nodes[i], nodes[j])))
-        return out
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, rows = None, ([], [], [], [])
-        batch_of = lambda found: pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], ["a", "b"])
-        for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("key", "node", "n", "comp", "point")]
-            for k, node, n, comp, p in zip(*cols):
-                if k != key:
-                    if len(rows[0]) > 1:
-                        yield batch_of(sorted(pairs(*rows)))
-                    key, rows = k, ([], [], [], [])
-                for r, v in zip(rows, (node, n, comp, np.frombuffer(p, np.uint8))):
-                    r.append(v)
-        if len(rows[0]) > 1:
-            yield batch_of(sorted(pairs(*rows)))
-
-    return run
+# --- the join ---
 
 
 class _Join:
-    """State of one join: nodes, their texts and the links found."""
-
-    def __init__(self, docs: DataFrame, percent: int, k: int, heavy_share: float):
-        self.docs, self.percent, self.k = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th")), percent, k
-        heavy = self.docs.sparkSession.sparkContext.broadcast(heavy_shingles(self.docs, heavy_share, k))  # size: see heavy_shingles
-        self.profiles = materialize(self.docs.mapInArrow(_profiler(heavy, k, percent), "doc_id long, th long, n int, sig binary, prefix array<long>, point binary"), "profiles")
-        alike = self.profiles.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("least_id"), F.min_by(F.struct("doc_id", "th", "n", "prefix", "point"), F.struct(F.col("doc_id").isNull(), "doc_id", "th")).alias("x"))
-        self.nodes = materialize(alike.select("sig", "least_id", F.monotonically_increasing_id().alias("node"), "x.*"), "nodes")
-        keys = self.nodes.select(F.explode("prefix").alias("key"), "node", "n")
-        shared = keys.withColumn("_c", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("_c > 1").select("key", "node", "n", F.col("node").alias("comp"))
-        self.buckets = materialize(shared, "buckets")
-        # prefixes have done their work, and are most of what was written
-        whole, self.profiles = self.profiles, materialize(self.profiles.select("doc_id", "th", "n", "sig"), "classes")
-        discard(whole)
-        whole, self.nodes = self.nodes, materialize(self.nodes.drop("prefix"), "points")
-        discard(whole)
-        self.links = None
-        self.tested = None
-
-    def verify(self, pairs: DataFrame, name: str) -> None:
-        """Test pairs (a, b), each once, and keep the links."""
-        pairs = pairs.distinct()
-        if self.tested is not None:
-            pairs = pairs.join(self.tested, ["a", "b"], "left_anti")
-        points = self.nodes.select(F.col("node"), "n", "point")
-        with_a = pairs.join(points.select(F.col("node").alias("a"), "n", F.col("point").alias("p")), "a")
-        with_b = with_a.join(points.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("point").alias("q")), "b")
-        close = materialize(with_b.mapInArrow(_bounded(self.percent), "a long, b long"), f"close-{name}")
-        self.tested = close if self.tested is None else self.tested.unionByName(close)
-        asked = close.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(self.nodes.select("node", "doc_id", "sig"), "node")
-        texts = self.docs.join(asked, self.docs.doc_id.eqNullSafe(asked.doc_id)).select("node", "sig", "text")
-        sets = materialize(texts.mapInArrow(_sets_of(self.k), "node long, members binary").dropDuplicates(["node"]), f"sets-{name}")
-        both = close.join(sets.select(F.col("node").alias("a"), F.col("members").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("members").alias("y")), "b")
-        links = materialize(both.mapInArrow(_verified(self.percent), "a long, b long"), f"links-{name}")
-        self.links = links if self.links is None else self.links.unionByName(links)
+    """State of one join: nodes, their buckets and the links found."""
+
+    def __init__(self, docs: DataFrame, percent: int, k: int, heavy_share: float, block: int):
+        spark = docs.sparkSession
+        bound_batches(spark)
+        self.docs, self.percent, self.k, self.block = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th")), percent, k, block
+        told = materialize(self.docs.withColumn("row", F.col("th")).mapInArrow(_profiler(heavy_share, k), "doc_id long, row long, n int, sig binary, keys array<long>, counts array<long>"), "profiles")
+        self.profiles = told.where("sig is not null").select("doc_id", F.col("row").alias("th"), "n", "sig")
+        heavy = spark.sparkContext.broadcast(self._heavy(told, heavy_share))
+        self.nodes = materialize(self.docs.select("text").mapInArrow(_placer(heavy, k, percent), "sig binary, n int, prefix array<long>, n_heavy int, point binary"), "nodes")
+        heavy.destroy()
+        first = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "th"))
+        self.reps = materialize(self.profiles.where("n > 0").groupBy("sig").agg(first.alias("x")).select("sig", "x.doc_id", "x.th"), "representatives")
+        part = F.when(F.col("pos") >= F.size("prefix") - F.col("n_heavy"), F.pmod(F.xxhash64("sig"), F.lit(SALTS)) + 1).otherwise(0)
+        keys = self.nodes.select("sig", "n", "n_heavy", "prefix", F.posexplode("prefix").alias("pos", "key")).select("key", F.shiftleft(part.cast("long"), 32).bitwiseOR(F.col("n").cast("long")).alias("tag"), "sig")
+        dealt = keys.repartition("key", F.shiftright("tag", 32)).sortWithinPartitions("key", "tag")
+        self.buckets = materialize(dealt.mapInArrow(_buckets(percent, block), "big boolean, h1 long, h2 long, members array<binary>"), "buckets")
+        self.points = self.nodes.select("sig", "n", "point").dropDuplicates(["sig"])
+        self.hot = materialize(self.buckets.where("big").select(F.col("h1").alias("key"), F.explode("members").alias("sig")).distinct(), "hot")
+        self.links = spark.createDataFrame([], "a binary, b binary")
+        self.tested = self.links
+
+    def _heavy(self, told: DataFrame, share: float) -> np.ndarray:
+        """Hashes of shingles in over `share` of the documents, rarer ones first: MOST_HEAVY at most, as each takes its part of all shingles."""
+        rows, total = self.profiles.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+        least = max(8, int(share * rows), total // MOST_HEAVY + 1)
+        pairs = told.where("sig is null").select(F.explode(F.arrays_zip("keys", "counts")).alias("x"))
+        often = pairs.groupBy(F.col("x.keys").alias("key")).agg(F.sum("x.counts").alias("n")).where(F.col("n") >= least).toPandas()
+        return often.sort_values(["n", "key"])["key"].to_numpy(np.int64).view(np.uint64)
+
+    def verify(self, pairs: DataFrame, name: str) -> int:
+        """Test pairs (a, b) that haven't been tested, keep the links, and return their number."""
+        close = materialize(pairs.distinct().join(self.tested, ["a", "b"], "left_anti"), f"close-{name}")
+        self.tested = self.tested.unionByName(close)
+        asked = close.select(F.explode(F.array("a", "b")).alias("sig")).distinct().join(self.reps, "sig")
+        rows = materialize(asked.select(F.xxhash64("doc_id", "th").alias("row")), f"asked-{name}")
+        if not (count := rows.count()):
+            return 0
+        texts = self.docs.withColumn("row", F.xxhash64("doc_id", "th")).join(F.broadcast(rows) if count <= ASKED_ROWS else rows, "row", "left_semi").select("text")
+        sets = materialize(texts.mapInArrow(_sets_of(self.k), "sig binary, members binary"), f"sets-{name}")
+        one = sets.dropDuplicates(["sig"])
+        both = close.join(one.select(F.col("sig").alias("a"), F.col("members").alias("x")), "a").join(one.select(F.col("sig").alias("b"), F.col("members").alias("y")), "b")
+        links = materialize(both.mapInArrow(_verified(self.percent), "a binary, b binary"), f"links-{name}")
         discard(sets)
+        self.links = self.links.unionByName(links)
+        return links.count()
+
+    def small(self) -> DataFrame:
+        """Pairs from the trees of all small buckets."""
+        lists = self.buckets.where("not big").groupBy("h1", "h2").agg(F.first("members").alias("members"))
+        rows = lists.select("h1", "h2", F.explode("members").alias("sig")).join(self.points, "sig")
+        return rows.repartition("h1", "h2").sortWithinPartitions("h1", "h2").select("h1", "h2", "sig", "n", "point").mapInArrow(_searched(self.percent, False), "a binary, b binary")
 
     def components(self) -> DataFrame:
         return materialize(connected_components(self.links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "components")
 
-    def settle(self) -> None:
-        """Take new components into the buckets and drop those that have nothing left to compare."""
-        now = self.buckets.drop("comp").join(self.components(), "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("comp"))
-        w = Window.partitionBy("key")
-        left = now.withColumns({"_c": F.count(F.lit(1)).over(w), "_x": F.min("comp").over(w), "_y": F.max("comp").over(w)})
-        self.buckets = materialize(left.where("_c > 1 and _x <> _y").drop("_c", "_x", "_y"), "buckets")
-
-    def leaders(self, turn: int) -> DataFrame:
-        """Each node with one leader: of its buckets' leaders that sizes permit and components differ from, the one it shares most buckets with."""
-        lead = self.buckets.withColumn("_l", F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("r"), "node", "n", "comp")).over(Window.partitionBy("key")))
-        fits = (F.col("_l.comp") != F.col("comp")) & (100 * F.least("n", "_l.n") >= self.percent * F.greatest("n", "_l.n"))
-        shared = lead.where(fits).groupBy("node", F.col("_l.node").alias("_to")).agg(F.count(F.lit(1)).alias("_c"))
-        best = shared.groupBy("node").agg(F.max_by("_to", F.struct("_c", "_to")).alias("_to"))
-        return best.select(F.least("node", "_to").alias("a"), F.greatest("node", "_to").alias("b"))
-
-    def searches(self) -> DataFrame:
-        """Pairs from the R-trees of buckets that are left, one bucket of each list of nodes."""
-        lists = self.buckets.groupBy("key").agg(F.count(F.lit(1)).alias("_c"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("_s"), F.min("node").alias("a"), F.max("node").alias("b"), F.min("n").alias("_m"), F.max("n").alias("_n"))
-        two = lists.where((F.col("_c") == 2) & (100 * F.col("_m") >= self.percent * F.col("_n"))).select("a", "b")
-        once = lists.where("_c > 2").groupBy("_c", "_s").agg(F.min("key").alias("key")).select("key")
-        rows = self.buckets.join(once, "key", "left_semi").join(self.nodes.select("node", "point"), "node")
-        found = rows.repartition("key").sortWithinPartitions("key", "node").select("key", "node", "n", "comp", "point").mapInArrow(_searched(self.percent), "a long, b long")
-        return found.unionByName(two)
-
-
-def _joined(docs: DataFrame, percent: int, k: int, heavy_share: float) -> _Join:
-    bound_batches(docs.sparkSession)
-    join = _Join(docs, percent, k, heavy_share)
-    for turn in range(LEADER_ROUNDS):
-        join.verify(join.leaders(turn), f"leaders-{turn}")
-        join.settle()
-    join.verify(join.searches(), "trees")
+    def open(self, components: DataFrame | None) -> DataFrame:
+        """(key, sig, comp) of big buckets."""
+        if components is None:
+            return self.hot.withColumn("comp", F.col("sig"))
+        return self.hot.join(components.withColumnRenamed("node", "sig"), "sig", "left").select("key", "sig", F.coalesce("component", "sig").alias("comp"))
+
+    def turn(self, now: DataFrame, number: int) -> DataFrame:
+        """Pairs from trees of blocks of big buckets, with one node of each component."""
+        each = now.groupBy("key", "comp").agg(F.min("sig").alias("sig"))
+        blocks = each.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / self.block).alias("_k"), F.count(F.lit(1)).alias("_c")).where("_c > 1").select(F.col("key").alias("h1"), "_k")
+        dealt = each.join(blocks, F.col("key") == F.col("h1")).select("h1", F.pmod(F.xxhash64("sig", F.lit(number)), "_k").alias("h2"), "sig")
+        rows = dealt.join(self.points, "sig").repartition("h1", "h2").sortWithinPartitions("h1", "h2").select("h1", "h2", "sig", "n", "point")
+        return rows.mapInArrow(_searched(self.percent, True), "a binary, b binary")
+
+    def rest(self, now: DataFrame) -> DataFrame:
+        """Pairs of different components from big buckets: nodes outside the largest component, searched for among all of a size that fits."""
+        sizes = now.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("_c")).groupBy("key").agg(F.max_by("comp", F.struct("_c", "comp")).alias("_most"), F.count(F.lit(1)).alias("_kinds")).where("_kinds > 1")
+        # sizes that can be linked differ by less than one kind
+        kind = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(105.0 / self.percent)))
+        rows = materialize(now.join(sizes, "key").join(self.points, "sig").select("key", "sig", "comp", "n", "point", kind.alias("kind"), (F.col("comp") != F.col("_most")).alias("asks")), "open")
+        blocks = rows.groupBy("key", "kind").agg(F.ceil(F.count(F.lit(1)) / 512).alias("_k"))
+        cols = ("key", "kind", "block", "side", "sig", "comp", "n", "point")
+        held = rows.join(blocks, ["key", "kind"]).withColumns({"block": F.pmod(F.xxhash64("sig"), "_k"), "side": F.lit(0)}).select(*cols)
+        near = rows.where("asks").withColumn("kind", F.explode(F.array(F.col("kind") - 1, F.col("kind"), F.col("kind") + 1)))
+        asking = near.join(blocks, ["key", "kind"]).withColumns({"block": F.explode(F.sequence(F.lit(0).cast("long"), F.col("_k") - 1)), "side": F.lit(1)}).select(*cols)
+        dealt = held.unionByName(asking).repartition("key", "kind", "block").sortWithinPartitions("key", "kind", "block", "side")
+        return dealt.mapInArrow(_probed(self.percent), "a binary, b binary")
+
+    def run(self, every_link: bool) -> None:
+        hot = not self.hot.isEmpty()
+        if not hot or every_link:
+            self.verify(self.small().unionByName(self.rest(self.open(None))) if hot else self.small(), "trees")
+            return
+        now = self.open(None)
+        self.verify(self.small().unionByName(self.turn(now, 0)), "trees")
+        number = 0
+        while True:
+            number, now = number + 1, self.open(self.components())
+            left = now.groupBy("key", "comp").agg(F.lit(1).alias("_x")).groupBy("key").count().where("count > 1").agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
+            if not left:
+                return
+            # once a turn links few, what is left is searched whole
+            if 10 * self.verify(self.turn(now, number), f"turn-{number}") < left:
+                break
+        self.verify(self.rest(self.open(self.components())), "rest")
+
+
+def _joined(docs: DataFrame, percent: int, k: int, heavy_share: float, block: int, every_link: bool = False) -> _Join:
+    join = _Join(docs, percent, k, heavy_share, block)
+    join.run(every_link)
     return join
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT, k: int = K, heavy_share: float = HEAVY) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = PERCENT, k: int = K, heavy_share: float = HEAVY, block: int = BLOCK) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of docs (doc_id, text)."""
-    join = _joined(docs, percent, k, heavy_share)
-    named = join.nodes.select("node", "sig", "least_id").join(join.components(), "node", "left").select("sig", "least_id", F.coalesce("component", "node").alias("component"))
-    ids = named.join(named.groupBy("component").agg(F.min("least_id").alias("component_id")), "component").select("sig", "component_id")
+    join = _joined(docs, percent, k, heavy_share, block)
+    named = join.reps.select("sig", "doc_id").join(join.components().withColumnRenamed("node", "sig"), "sig", "left").select("sig", "doc_id", F.coalesce("component", "sig").alias("component"))
+    ids = named.join(named.groupBy("component").agg(F.min("doc_id").alias("component_id")), "component").select("sig", "component_id")
     return join.profiles.select("doc_id", "n", F.when(F.col("n") > 0, F.col("sig")).alias("sig")).join(ids, "sig", "left").select(
         "doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")
     )
 
 
-def representatives(docs: DataFrame, percent: int = PERCENT, k: int = K, heavy_share: float = HEAVY) -> DataFrame:
+def representatives(docs: DataFrame, percent: int = PERCENT, k: int = K, heavy_share: float = HEAVY, block: int = BLOCK) -> DataFrame:
     """The row of each component with the least id (of equal ids the least text hash; one of equal rows), and all rows without words."""
-    join = _joined(docs, percent, k, heavy_share)
-    named = join.nodes.select("node", "doc_id", "th").join(join.components(), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    first = named.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("_no"), F.col("doc_id").alias("_id"), F.col("th").alias("_th"))).alias("x"))
+    join = _joined(docs, percent, k, heavy_share, block)
+    named = join.reps.join(join.components().withColumnRenamed("node", "sig"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
+    first = named.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "th")).alias("x"))
     # one key for the join and for repeated rows, so that texts are dealt once
     key = lambda i, t: F.concat_ws(":", i.cast("string"), t.cast("string"))
-    keyed = docs.withColumn("_key", key(F.col("doc_id"), F.xxhash64(F.coalesce("text", F.lit("")))))
+    name = fresh(docs, "_key")
+    keyed = docs.withColumn(name, key(F.col("doc_id"), F.xxhash64(F.coalesce("text", F.lit("")))))
     words = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    kept = keyed.where(words).join(first.select(key(F.col("x._id"), F.col("x._th")).alias("_key")), "_key", "left_semi").dropDuplicates(["_key"])
-    return kept.drop("_key").unionByName(docs.where(~words)).select(*docs.columns)
+    kept = keyed.where(words).join(first.select(key(F.col("x.doc_id"), F.col("x.th")).alias(name)), name, "left_semi").dropDuplicates([name])
+    return kept.select(*columns_of(docs)).unionByName(docs.where(~words))
 
 
-def links(docs: DataFrame, percent: int = PERCENT, k: int = K, heavy_share: float = HEAVY) -> tuple[DataFrame, DataFrame]:
+def links(docs: DataFrame, percent: int = PERCENT, k: int = K, heavy_share: float = HEAVY, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """All links, exactly: (a_id, b_id) of texts with different shingle sets, one id for each set and each pair once, and (doc_id, n_links) for each row.
 
     A row's n_links are the other rows it is linked to, copies included; one without words has none.
     """
-    bound_batches(docs.sparkSession)
-    join = _Join(docs, percent, k, heavy_share)
-    join.verify(join.searches(), "trees")  # each node is a component of its own still, so nothing is passed over
+    join = _joined(docs, percent, k, heavy_share, block, every_link=True)
     copies = join.profiles.where("n > 0").groupBy("sig").agg(F.count(F.lit(1)).alias("_k"))
-    nodes = join.nodes.select("node", "doc_id", "sig").join(copies, "sig")
-    a, b = (nodes.select(F.col("node").alias(x), F.col("doc_id").alias(f"{x}_id")) for x in "ab")
+    nodes = join.reps.select("sig", "doc_id").join(copies, "sig")
+    a, b = (nodes.select(F.col("sig").alias(x), F.col("doc_id").alias(f"{x}_id")) for x in "ab")
     both = join.links.unionByName(join.links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    others = both.join(nodes.select(F.col("node").alias("b"), "_k"), "b").groupBy("a").agg(F.sum("_k").alias("_o"))
-    each = nodes.join(others.withColumnRenamed("a", "node"), "node", "left").select("sig", (F.coalesce("_o", F.lit(0)) + F.col("_k") - 1).alias("n_links"))
+    others = both.join(nodes.select(F.col("sig").alias("b"), "_k"), "b").groupBy("a").agg(F.sum("_k").alias("_o"))
+    each = nodes.join(others.withColumnRenamed("a", "sig"), "sig", "left").select("sig", (F.coalesce("_o", F.lit(0)) + F.col("_k") - 1).alias("n_links"))
     rows = join.profiles.select("doc_id", F.when(F.col("n") > 0, F.col("sig")).alias("sig"))
     return join.links.join(a, "a").join(b, "b").select("a_id", "b_id"), rows.join(each, "sig", "left").select("doc_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 

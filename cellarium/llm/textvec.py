@@ -58,6 +58,27 @@ class SpanHash:
         return mix((self.sums[end] - self.sums[start]) * self.inverse[start] + (end - start).astype(np.uint64))
 
 
+def hash_runs(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, part: int = 1 << 20) -> np.ndarray:
+    """SpanHash of ascending spans that don't overlap, of about `part` bytes of buf at a time; a longer span is summed in parts."""
+    if len(buf) <= part:
+        return SpanHash(buf)(starts, ends)
+    out, at = [], 0
+    while at < len(starts):
+        low = int(starts[at])
+        to = int(np.searchsorted(ends, low + part, "right"))
+        if to > at:
+            out.append(SpanHash(buf[low : ends[to - 1]])(starts[at:to] - low, ends[at:to] - low))
+            at = to
+            continue
+        high, total = int(ends[at]), 0
+        for k in range(low, high, part):
+            piece = buf[k : min(k + part, high)]
+            total += int((_BYTE[piece] * _power(_BASE, len(piece))).sum(dtype=np.uint64)) * pow(_BASE, k - low, 1 << 64)
+        out.append(mix(np.array([(total + high - low) % (1 << 64)], np.uint64)))
+        at += 1
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
 def runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Maximal runs of True that don't cross an offset: starts, ends, and for each text the index of its first run (n + 1 of them)."""
     n = len(inside)

@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cellarium.llm import decontamination, jaccard_join, language_id, license_scan, packing, quality_classifier, quality_rules, registry, run_length_index, sharding, url_filters
+from cellarium.llm import decontamination, jaccard_join, language_id, license_scan, packing, quality_classifier, quality_rules, registry, run_length_index, sharding, textvec, url_filters
 from cellarium.llm.components import connected_components
 from tests.oracle import connect, same
 
@@ -465,12 +465,68 @@ def test_r_tree():
     sets = [np.unique(np.concatenate([base[i % 20][: s - s // 8], rng.integers(0, 1 << 60, s // 8).astype(np.uint64)])) for i, s in enumerate(sizes)]
     points = np.array([jaccard_join.fold(jaccard_join.point(s), 8) for s in sets])
     n = np.array([len(s) for s in sets])
-    tree = jaccard_join.RTree(points, n)
-    for i, s in enumerate(sets):
-        found = set(tree.search(points[i], int(n[i])).tolist())
-        bound = {j for j in range(len(sets)) if 175 * min(n[i], n[j], int(np.minimum(points[i], points[j]).sum())) >= 75 * (n[i] + n[j])}
-        real = {j for j, t in enumerate(sets) if jaccard_join.linked(len(s), len(t), len(np.intersect1d(s, t)))}
-        assert real <= found <= bound
+    bound = {(i, j): int(np.minimum(points[i], points[j]).sum()) for i in range(len(sets)) for j in range(i)}
+    may = {k for k, most in bound.items() if 175 * min(*n[list(k)], most) >= 75 * n[list(k)].sum()}
+    real = {(i, j) for i, j in bound if jaccard_join.linked(len(sets[i]), len(sets[j]), len(np.intersect1d(sets[i], sets[j])))}
+    pairs = lambda found: Counter((max(i, j), min(i, j)) for i, j in zip(found[0].tolist(), found[1].tolist()))
+    assert real <= may and len(real) > 100
+    for leaf in (2, 16, 300):
+        assert pairs(jaccard_join.RTree(points, n, leaf).join()) == Counter(may)
+        one, two = (jaccard_join.RTree(points[s], n[s], leaf) for s in (slice(0, 40), slice(40, 300)))
+        i, j, _ = one.join(two)
+        assert pairs((i, j + 40)) == Counter(k for k in may if k[0] >= 40 > k[1])
+    whole = [jaccard_join.point(s) for s in sets]  # of several numbers of groups
+    found = pairs(jaccard_join.near_pairs(whole, n))
+    assert set(found) >= real and max(found.values()) == 1
+    i, j, _ = jaccard_join.near_pairs(whole[:90], n[:90], others=(whole[90:], n[90:]))
+    assert set(pairs((i, j + 90))) >= {k for k in real if k[0] >= 90 > k[1]}
+    assert len(jaccard_join.RTree(points[:0], n[:0]).join()[0]) == 0
+
+
+def test_spanning_forest():
+    i, j, most = np.array([0, 1, 0, 3]), np.array([1, 2, 2, 4]), np.array([5, 9, 8, 1])
+    assert sorted(jaccard_join.spanning_forest(i, j, most, np.full(4, 20)).tolist()) == [1, 2, 3]
+
+
+@pytest.mark.parametrize("how", [{"block": 1}, {"block": 3}, {"block": 3, "heavy_share": 0.9}])
+def test_large_buckets(spark, how):
+    """Buckets that blocks, turns and the search of what is left have to deal with: two classes and some others share most words."""
+    rnd = random.Random(8)
+    words = [f"w{i}" for i in range(90)]
+    rows = []
+    for i in range(70):
+        w = list(words if i % 3 else words[:45] + words[::-1][:45])
+        for _ in range(rnd.randint(0, 2)):
+            w[rnd.randrange(90)] = f"x{rnd.randint(0, 5)}"
+        rows.append((rnd.randint(0, 60), " ".join(w)))
+    rows += [(200 + i, " ".join(words[: 60 - 2 * i])) for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert multiset(jaccard_join.near_duplicates(df, **how).collect()) == classes_by_hand(rows)
+    sets = [frozenset(zip(*[t.split()[j:] for j in range(5)])) for _, t in rows]
+    counts = jaccard_join.links(df, **how)[1]
+    near = lambda x, y: 100 * len(x & y) >= 75 * len(x | y)
+    assert multiset(counts.collect()) == multiset((d, sum(near(sets[i], t) for j, t in enumerate(sets) if j != i)) for i, (d, _) in enumerate(rows))
+
+
+def test_links_come_from_trees(spark):
+    """All links of some chains are among the pairs that the trees of small buckets give, and bounds keep most other pairs out."""
+    chain = lambda f: [(100 * f + i, " ".join(f"w{f}-{j}" for j in range(3 * i, 3 * i + 60))) for i in range(5)]
+    other = [(9000 + i, " ".join(f"w{i % 15}-{j}" if j < 12 else f"own{i}-{j}" for j in range(60))) for i in range(30)]
+    df = spark.createDataFrame([r for f in range(15) for r in chain(f)] + other, "doc_id long, text string")
+    join = jaccard_join._Join(df, 75, 5, 0.002, 64)
+    assert join.hot.count() == 0
+    found = join.small().distinct().count()
+    assert join.verify(join.small(), "test") == 15 * 7 and found < 15 * 10
+
+
+def test_long_words_and_texts():
+    rnd = random.Random(1)
+    text = " ".join("".join(rnd.choice("abcXYZ\u00e9") for _ in range(rnd.choice([1, 4, 9, 700]))) for _ in range(3000)).encode()
+    buf = np.frombuffer(text, np.uint8)
+    starts, ends, _ = textvec.runs(~textvec.BLANK[buf], np.array([0, len(buf)]))
+    want = textvec.SpanHash(buf)(starts, ends)
+    for part in (64, 1000, 1 << 20):
+        assert (textvec.hash_runs(buf, starts, ends, part) == want).all()
 
 
 # --- op10 ---
