@@ -13,6 +13,10 @@ from cellarium.operators.resolve import DEL_ROW, LOG_COLUMNS, log_schema
 from cellarium.schema import TableSchema
 
 
+#: A key-value table's entries: expire in seconds, null for never; gone for a deletion.
+KV_SCHEMA = "row string, value string, seq long, expire long, gone boolean"
+
+
 def _group(schema: TableSchema):
     out = F.lit("all")
     for f in schema.families:
@@ -34,6 +38,20 @@ def read(spark: SparkSession, schema: TableSchema, path: str, families: set[str]
     return log.select(*LOG_COLUMNS)
 
 
+def append_kv(log: DataFrame, path: str) -> None:
+    log.repartitionByRange("row").sortWithinPartitions("row").write.mode("append").option("parquet.bloom.filter.enabled#row", "true").parquet(path)
+
+
+def read_kv(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(KV_SCHEMA).parquet(path)
+
+
+def good_and_bad_kv(log: DataFrame) -> tuple[DataFrame, DataFrame]:
+    why = F.when(F.length("row") >= 64 << 10, "row too large").when(F.length("value") >= 32 << 20, "value too large")
+    told = log.withColumn("reason", why)
+    return told.where("reason is null").drop("reason"), told.where("reason is not null")
+
+
 def good_and_bad(log: DataFrame, schema: TableSchema) -> tuple[DataFrame, DataFrame]:
     """Entries that may be written, and the others with a reason: limits on sizes, unknown families."""
     why = F.when(F.length("row") >= 64 << 10, "row too large").when(F.length("qual") >= 64 << 10, "qualifier too large").when(F.length(F.col("value").cast("string")) >= 32 << 20, "value too large")

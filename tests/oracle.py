@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -16,7 +17,7 @@ def connect(d: str):
 
 
 def cell(v) -> str:
-    if v is None or v != v:
+    if pd.isna(v) is True or v is None:
         return "null"
     if isinstance(v, bool) or type(v).__name__ in ("bool", "bool_"):
         return str(bool(v))

@@ -3,7 +3,7 @@ import pytest
 from cellarium.functions import codecs
 from cellarium.operators import shard, txn
 from cellarium.operators.resolve import log_schema
-from cellarium.operators.scan import ScanDescriptor
+from cellarium.operators.scan import RowReader, ScanDescriptor, observed, resume_after, round_down
 from cellarium.schema import SchemaError, format_schema, parse_schema, update_schema, with_notify_group
 from cellarium.sources.cell_log import append, read
 from cellarium.sources.store import Client, RowMutation, StoreError
@@ -126,7 +126,7 @@ def test_store(spark, tmp_path):
     assert cells(ScanDescriptor(snapshot=snap)) == [("r1", "a", "x", "1"), ("r1", "n", "c", "5")]
     with pytest.raises(StoreError):
         t.scan(ScanDescriptor(snapshot=77))
-    assert [r.name for r in shard.locate(t.scan().select("row").distinct(), c.tablets("t")).orderBy("row").collect()] == ["t/tablet00000001", "t/tablet00000002"]
+    assert [r.name for r in shard.locate(t.scan().select("row").distinct(), c.tablets("t")).orderBy("row").collect()] == ["t/tablet00000002"] * 2  # both rows are above "m"
     before = cells()
     t.compact()
     assert cells() == before
@@ -156,3 +156,151 @@ def test_log_files_prune_groups(spark, tmp_path):
     got = read(spark, schema, str(tmp_path / "log"), {"a"})
     assert sorted(r.seq for r in got.collect()) == [1, 3]
     assert "PartitionFilters: [lg" in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_reads_after_rollback_and_compaction(spark, tmp_path):
+    c = Client(spark, f"file://{tmp_path}/db")
+    t = c.create_table("t{lg0{a<maxversions=2>},lg1{n}}")
+    t.apply([RowMutation("r").put("a", "x", "1").put("n", "y", "0")], 1000)
+    first = t.snapshot()
+    t.apply([RowMutation("r").put("a", "x", "2")], 2000)
+    second = t.snapshot()
+    keys = spark.createDataFrame([("r",), ("none",)], "row string")
+    get = lambda **how: [r.value for r in t.get(RowReader("r", families={"a"}, **how)).collect()]
+    columns = lambda **how: [r.value for r in t.get(RowReader("r", columns={("a", "x")}, **how)).collect()]
+    many = lambda **how: sorted(r.value for r in t.batch_get(keys, **how).collect())
+    assert (get(), columns(), many()) == (["2"], ["2"], ["0", "2"])
+    assert (get(snapshot=first), columns(snapshot=first), many(snapshot=first)) == (["1"], ["1"], ["0", "1"])
+    t.rollback(first)
+    assert (get(), columns(), many()) == (["1"], ["1"], ["0", "1"])
+    for bad in (lambda: t.get(RowReader("r", snapshot=77)), lambda: t.batch_get(keys, snapshot=77), lambda: t.drop_snapshot(77)):
+        with pytest.raises(StoreError):
+            bad()
+    t.apply([RowMutation("r").delete_row()], 3000)
+    t.compact()
+    assert (many(), many(snapshot=first)) == ([], ["0", "1"])  # the snapshots are still there
+    t.drop_snapshot(first)
+    t.drop_snapshot(second)
+    t.compact()
+    assert t.log().count() == 0
+
+
+def test_table_reads_only_its_families_files(spark, tmp_path):
+    t = Client(spark, f"file://{tmp_path}/db").create_table("t{lg0{a},lg1{n}}")
+    t.apply([RowMutation("r").put("a", "x", "1").put("n", "y", "0")], 1000)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    for df in (t.scan(ScanDescriptor(families={"a"})), t.get(RowReader("r", columns={("a", "x")}))):
+        assert "PartitionFilters: [lg" in plan(df) and [r.value for r in df.collect()] == ["1"]
+    one = plan(t.get(RowReader("r")))
+    assert "EqualTo(row,r)" in one or "GreaterThanOrEqual(row,r)" in one
+
+
+def test_key_value_table(spark, tmp_path):
+    t = Client(spark, f"file://{tmp_path}/db").create_table("k<rawkey=ttlkv>")
+    with pytest.raises(StoreError):
+        t.apply([RowMutation("r").put("a", "x", "1")], 1)
+    bad = t.apply([RowMutation("a").put_kv("1", 5), RowMutation("b").put_kv("2"), RowMutation("c").put_kv(None), RowMutation("x" * 70_000).put_kv("3")], 10_000_000)
+    assert [r.reason for r in bad.collect()] == ["row too large"]
+    at = lambda s: {r.row: r.value for r in t.scan(now_us=s * 1_000_000).collect()}
+    assert at(14) == {"a": "1", "b": "2", "c": None} and at(15) == {"b": "2", "c": None}
+    snap = t.snapshot()
+    t.apply([RowMutation("b").delete_kv(), RowMutation("c").put_kv("9")], 16_000_000)
+    assert at(16) == {"c": "9"} and t.get(RowReader("b")).count() == 0 and t.get(RowReader("b", snapshot=snap)).first().value == "2"
+    assert t.batch_get(spark.createDataFrame([("c",), ("d",)], "row string")).count() == 1
+    t.rollback(snap)
+    assert at(16) == {"b": "2", "c": None}
+    t.drop_snapshot(snap)
+    t.compact()
+    assert at(16) == {"b": "2", "c": None} and t.log().count() == 3
+    assert {r.row for r in t.scan(ScanDescriptor("b", "c")).collect()} == {"b"}
+
+
+def test_split_and_merge(spark, tmp_path):
+    c = Client(spark, f"file://{tmp_path}/db")
+    t = c.create_table("t{a}", ["m"])
+    t.apply([RowMutation(f"r{i}").put("a", "x", i) for i in range(9)], 1)
+    key = t.split()
+    assert "r0" < key < "r8" and [r.start for r in c.tablets("t").collect()] == ["", "m", key]
+    assert sorted(r.n_rows for r in shard.tablet_loads(t.scan(), c.tablets("t")).collect()) == [4, 5]
+    t.split("c")
+    t.merge("m")
+    assert [r.end for r in c.tablets("t").collect()] == ["c", key, ""]
+    for bad in (lambda: t.split("c"), lambda: t.merge("m")):
+        with pytest.raises(StoreError):
+            bad()
+
+
+def test_winners_of_a_batch(spark):
+    asks = spark.createDataFrame([(1, "A"), (1, "B"), (2, "B"), (2, "C"), (3, "C"), (3, "C"), (4, "D"), (5, "D"), (5, "E"), (6, "E")], "txn long, row string")
+    asks = asks.selectExpr("txn", "row", "'c' AS cf", "'q' AS qual", "100L AS start_ts", "CAST(txn AS string) AS value")
+    none = spark.createDataFrame([], "row string, cf string, qual string, ts long")
+    writes = spark.createDataFrame([("F", "c", "q", 500, "put", 1)], "row string, cf string, qual string, commit_ts long, kind string, data_ts long")
+    said = lambda **how: {r.txn: r.status for r in txn.commit_batch(asks, writes, none, txn.TimeOracle(), **how)[0].collect()}
+    won = lambda s: sorted(k for k, v in s.items() if v == "ok")
+    assert won(said()) == [1, 3, 4, 6]  # 2 lost to 1, so that 3 has C; 5 lost to 4, so that 6 has E
+    reads = spark.createDataFrame([(6, "F", "c", "q", 100), (3, "Z", "c", "q", 100)], "txn long, row string, cf string, qual string, start_ts long")
+    assert won(said(isolation="serializable", reads=reads)) == [1, 3, 4]
+    _, new, data = txn.commit_batch(asks, writes, none, txn.TimeOracle(), isolation="read_committed")
+    assert {r.row: r.value for r in data.collect()} == {"A": "1", "B": "2", "C": "3", "D": "5", "E": "6"} and new.count() >= 5
+    with pytest.raises(ValueError):
+        txn.commit_batch(asks, writes, none, txn.TimeOracle(), isolation="none")
+    assert txn.winners(asks.limit(0)).count() == 0
+
+
+def test_reads_of_nothing_are_validated(spark):
+    cells = lambda *rows: spark.createDataFrame([(r, "c", "q", 1, v) for r, v in rows], "row string, cf string, qual string, ts long, value string")
+    asked = spark.createDataFrame([("a",), ("b",), ("d",)], "row string")
+    got = lambda *a: {r.row: r.ok for r in txn.validate_reads(*a).collect()}
+    before, after = cells(("a", "1"), ("e", "1")), cells(("a", "1"), ("b", "2"), ("e", "1"))
+    assert got(before, after, asked) == {"a": True, "b": False, "d": True}
+    assert got(before, after) == {"a": True, "b": False, "e": True} and got(after, before)["b"] is False
+
+
+def test_scripts_are_executed(spark, tmp_path):
+    c = Client(spark, f"file://{tmp_path}/db")
+    t, u = c.create_table("t{a,b}"), c.create_table("u{a}")
+    t.apply([RowMutation("r").put("a", "x", "old").put("b", "y", "gone")], 1)
+    tables, oracle = {"t": t, "u": u}, txn.TimeOracle()
+    reads, bad = txn.run_script("BEGIN\nGET t r a:x\nPUT t r a:x new one\nGET t r a:x\nDEL t r b:y\nPUT u s a:z 5\nGET u s a:none\nCOMMIT", tables, oracle, 1000)
+    assert [r[-1] for r in reads] == ["old", "new one", None] and bad.count() == 0
+    assert [(r.row, r.value) for r in t.scan().collect()] == [("r", "new one")] and u.scan().first().value == "5"
+    for text, code in (("BEGIN\nPUT t r zz:x 1\nCOMMIT", "BAD_COLUMN"), ("BEGIN\nPUT t r a:!x 1\nCOMMIT", "BAD_COLUMN"), ("BEGIN\nGET v r a:x\nCOMMIT", "NOT_FOUND"), (f"BEGIN\nPUT t r a:x {'v' * 10_001}\nCOMMIT", "DATA_TOO_LARGE")):
+        with pytest.raises(txn.TxnFailed) as failed:
+            txn.run_script(text, tables, oracle, 2000)
+        assert failed.value.code.name == code
+
+    class Meddling:  # another writer comes between the first read and the commit
+        schema, name = t.schema, "t"
+
+        def get(self, r, now_us):
+            out = t.get(r, now_us)
+            rows = out.collect()
+            t.apply([RowMutation("r").put("a", "x", "theirs")], 3000)
+            return type("Rows", (), {"collect": lambda self: rows})()
+
+        def apply(self, *a):
+            raise AssertionError("nothing may be written")
+
+    with pytest.raises(txn.TxnFailed) as failed:
+        txn.run_script("BEGIN\nGET t r a:x\nPUT t r a:x mine\nCOMMIT", {"t": Meddling()}, oracle, 2000)
+    assert failed.value.code is txn.TxnError.WRITE_CONFLICT
+
+
+def test_resume_and_observe(spark, tmp_path):
+    t = Client(spark, f"file://{tmp_path}/db").create_table("t{a<maxversions=3>}")
+    t.apply([RowMutation(r).put("a", q, f"{q}{i}") for i in range(3) for q in ("x", "y") for r in ("r", "s")], 100)
+    cells = t.scan(ScanDescriptor(max_versions=3))
+    every = [tuple(r) for r in cells.collect()]
+    for at in (0, 3, 7, len(every) - 1):
+        assert sorted(map(tuple, resume_after(cells, every[at][:4]).collect())) == sorted(every[at + 1 :])
+    seen, counts = observed(cells, "scan")
+    seen.collect()
+    assert counts.get["n_cells"] == 12 and counts.get["n_rows"] == 2 and counts.get["bytes"] == 12 * 5
+
+
+def test_round_down_past_deleted_rows(spark):
+    rows = [(f"r{i:03d}", "a", "q", 1, 5, "v", i) for i in range(200)] + [(f"r{i:03d}", "", "", 9, 1, None, 500 + i) for i in range(20, 200)]
+    log = spark.createDataFrame(rows, log_schema())
+    assert [r.row for r in round_down(log, parse_schema("t{a}"), "r150x").collect()] == ["r019"]
+    assert round_down(log, parse_schema("t{a}"), "a").count() == 0
+    assert round_down(log.limit(0), parse_schema("t{a}"), "z").count() == 0
