@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 #: Settings that hold on a laptop and on a cluster; sizes of partitions are left to the deployment.
@@ -21,5 +24,24 @@ def local_session(cores: int | str = "*", partitions: int = 8, **conf: str) -> S
     return b.config(map=settings).getOrCreate()
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """df with its lineage cut by a checkpoint in the folder that all executors share."""
+    sc = df.sparkSession.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(scratch(df.sparkSession))
+    return df.checkpoint()
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder's name in the folder that all executors share."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root is None:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="cellarium-")
+    return f"{root.rstrip('/')}/cellarium/scratch-{uuid.uuid4().hex}"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
