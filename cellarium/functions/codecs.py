@@ -125,9 +125,14 @@ def byte_size(c: Column) -> Column:
     return out
 
 
+_EPOCH = "timestamp_ntz'1970-01-01 00:00:00'"
+
+
 def time_text(micros: Column) -> Column:
-    return F.date_format(F.timestamp_micros(micros), "yyyyMMdd-HH:mm:ss")
+    """Microseconds since 1970 as a time to the second, whatever the session's zone is."""
+    none = F.lit(0)
+    return F.date_format(F.expr(_EPOCH) + F.make_dt_interval(none, none, none, (micros.cast("decimal(24,6)") / 1_000_000).cast("decimal(18,6)")), "yyyyMMdd-HH:mm:ss")
 
 
 def time_of(text: Column) -> Column:
-    return F.unix_micros(F.to_timestamp(text, "yyyyMMdd-HH:mm:ss"))
+    return F.timestamp_diff("MICROSECOND", F.expr(_EPOCH), F.to_timestamp_ntz(text, F.lit("yyyyMMdd-HH:mm:ss")))

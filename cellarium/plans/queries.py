@@ -17,7 +17,8 @@ from cellarium.operators.scan import RowReader, ScanDescriptor, get, read_column
 from cellarium.plans import fixtures as fx
 from cellarium.plans import workloads
 from cellarium.schema import Family, TableSchema
-from cellarium.session import table
+from cellarium.session import scratch, table
+from cellarium.sources.store import Client, RowMutation
 from cellarium.sources.text import parse_mark_lines, parse_put_lines
 from cellarium.streaming import observe
 
@@ -101,10 +102,10 @@ def scan_columns(spark, d):
 
 
 def _keys(spark, d):
-    return table(spark, d, "customer").where("c_custkey % 7 = 0").select(F.lpad(F.col("c_custkey").cast("string"), 8, "0").alias("row"))
+    return table(spark, d, "customer").select(F.lpad(F.col("c_custkey").cast("string"), 8, "0").alias("row"))
 
 
-_KEYS = "SELECT lpad(CAST(c_custkey AS VARCHAR), 8, '0') FROM customer WHERE c_custkey % 7 = 0"
+_KEYS = "SELECT lpad(CAST(c_custkey AS VARCHAR), 8, '0') FROM customer"
 
 
 @query(_newest(more=f'AND "row" IN ({_KEYS})'))
@@ -498,19 +499,24 @@ def _gtxn(spark, d):
     return kept.select("row", "cf", "qual", F.col("event_id").alias("ts"), "value"), writes, e.where("event_id % 97 = 0").select("row", "cf", "qual", F.col("event_id").alias("ts"))
 
 
-@query(f"""WITH w AS (SELECT "row", cf, qual, arg_max(kind, commit_ts) AS kind, arg_max(data_ts, commit_ts) AS data_ts FROM ({_WRITES}) WHERE commit_ts <= 700 GROUP BY ALL),
-l AS (SELECT DISTINCT "row", qual FROM ({_LOCKS}) WHERE ts < 700)
+@query(f"""WITH w AS (SELECT "row", cf, qual, arg_max(kind, commit_ts) AS kind, arg_max(data_ts, commit_ts) AS data_ts FROM ({_WRITES}) WHERE commit_ts <= (SELECT max(event_id) * 7 // 10 FROM events) GROUP BY ALL),
+l AS (SELECT DISTINCT "row", qual FROM ({_LOCKS}) WHERE ts < (SELECT max(event_id) * 7 // 10 FROM events))
 SELECT w."row" AS "row", w.cf AS cf, w.qual AS qual, CASE WHEN l."row" IS NULL THEN v.value END AS value, data_ts, CASE WHEN l."row" IS NULL THEN 'ok' ELSE 'locked' END AS status FROM w JOIN ({_DATA}) v ON v."row" = w."row" AND v.qual = w.qual AND v.ts = w.data_ts LEFT JOIN l ON l."row" = w."row" AND l.qual = w.qual WHERE kind = 'put'""")
 def txn_snapshot_read(spark, d):
     data, writes, locks = _gtxn(spark, d)
-    return txn.snapshot_read(writes, data, locks, 700)
+    return txn.snapshot_read(writes, data, locks, _share(spark, d, 7))
 
 
-_ASKS = """SELECT lpad(CAST(user_id AS VARCHAR), 8, '0') AS "row", 'ev' AS cf, event_type AS qual, event_id * 2 AS start_ts, event_id AS txn, value FROM events WHERE event_id % 10 = 3"""
+def _share(spark, d, tenths: int) -> int:
+    """So many tenths of the greatest event number: a snapshot that grows with the log."""
+    return table(spark, d, "events").agg(F.max("event_id")).first()[0] * tenths // 10
+
+
+_ASKS = """SELECT lpad(CAST(user_id AS VARCHAR), 8, '0') AS "row", 'ev' AS cf, event_type AS qual, event_id * 2 AS start_ts, event_id AS txn, value FROM events"""
 
 
 def _asks(spark, d):
-    return table(spark, d, "events").where("event_id % 10 = 3").select(fx.user_row().alias("row"), F.lit("ev").alias("cf"), F.col("event_type").alias("qual"), (F.col("event_id") * 2).alias("start_ts"), F.col("event_id").alias("txn"), "value")
+    return table(spark, d, "events").select(fx.user_row().alias("row"), F.lit("ev").alias("cf"), F.col("event_type").alias("qual"), (F.col("event_id") * 2).alias("start_ts"), F.col("event_id").alias("txn"), "value")
 
 
 _CONFLICTS = f"""WITH w AS (SELECT "row", qual, max(commit_ts) AS w FROM ({_WRITES}) GROUP BY ALL), l AS (SELECT "row", qual, max(ts) AS l FROM ({_LOCKS}) GROUP BY ALL)
@@ -523,11 +529,21 @@ def txn_conflicts(spark, d):
     return txn.conflicts(_asks(spark, d), writes, locks)
 
 
-@query(f"""WITH s AS (SELECT txn, coalesce(min(CASE WHEN status <> 'ok' THEN status END), 'ok') AS status FROM ({_CONFLICTS}) GROUP BY txn),
-c AS (SELECT a.*, min(txn) OVER (PARTITION BY "row", cf, qual) AS f FROM ({_ASKS}) a SEMI JOIN (SELECT txn FROM s WHERE status = 'ok') k USING (txn)),
-l AS (SELECT txn, bool_or(f <> txn) AS lost FROM c GROUP BY txn)
-SELECT txn, CASE WHEN lost THEN 'write_conflict' ELSE status END AS status FROM s LEFT JOIN l USING (txn)""")
+@query(f"""WITH RECURSIVE s AS (SELECT txn // 2 AS txn, coalesce(min(CASE WHEN status <> 'ok' THEN status END), 'ok') AS status FROM ({_CONFLICTS}) GROUP BY 1),
+t AS MATERIALIZED (SELECT row_number() OVER (ORDER BY a.txn // 2) AS n, a.txn // 2 AS txn, list("row" || '/' || qual) AS cells FROM ({_ASKS}) a JOIN s ON s.txn = a.txn // 2 AND s.status = 'ok' GROUP BY 2),
+walk(n, taken, won) AS (SELECT CAST(0 AS BIGINT), CAST([] AS VARCHAR[]), false
+UNION ALL SELECT t.n, CASE WHEN list_has_any(taken, cells) THEN taken ELSE list_concat(taken, cells) END, NOT list_has_any(taken, cells) FROM walk JOIN t ON t.n = walk.n + 1)
+SELECT s.txn AS txn, CASE WHEN s.status = 'ok' AND NOT coalesce(won, false) THEN 'write_conflict' ELSE s.status END AS status FROM s LEFT JOIN t ON s.txn = t.txn LEFT JOIN walk ON walk.n = t.n""")
 def txn_commit_batch(spark, d):
+    """Two events make a transaction; SQL walks through the transactions one by one."""
+    _, writes, locks = _gtxn(spark, d)
+    asks = _asks(spark, d).withColumn("txn", F.floor(F.col("txn") / 2))
+    return txn.commit_batch(asks, writes, locks, txn.TimeOracle(1_000_000))[0]
+
+
+@query(f"""SELECT txn, CASE WHEN status = 'ok' AND txn > f THEN 'write_conflict' ELSE status END AS status FROM (SELECT *, min(CASE WHEN status = 'ok' THEN txn END) OVER (PARTITION BY "row", qual) AS f FROM ({_CONFLICTS}))""")
+def txn_single_cell(spark, d):
+    """Each event is a transaction of one cell: the first without a stored conflict has it."""
     _, writes, locks = _gtxn(spark, d)
     return txn.commit_batch(_asks(spark, d), writes, locks, txn.TimeOracle(1_000_000))[0]
 
@@ -541,26 +557,125 @@ def txn_settle_locks(spark, d):
 
 
 @query(f"""WITH n AS ({_newest()}) SELECT a."row" AS "row", 'ev' AS cf, a.qual AS qual, a.expected AS expected, a.value AS value, CASE WHEN n.value IS NULL THEN 'not_found' WHEN n.value = expected THEN 'ok' ELSE 'not_equal' END AS status
-FROM (SELECT lpad(CAST(user_id + CASE WHEN event_id % 20 = 0 THEN 1000000 ELSE 0 END AS VARCHAR), 8, '0') AS "row", event_type AS qual, value AS expected, value + 1 AS value FROM events WHERE event_id % 5 = 0) a LEFT JOIN n USING ("row", qual)""")
+FROM (SELECT lpad(CAST(user_id + CASE WHEN event_id % 20 = 0 THEN 1000000 ELSE 0 END AS VARCHAR), 8, '0') AS "row", event_type AS qual, value AS expected, value + 1 AS value FROM events) a LEFT JOIN n USING ("row", qual)""")
 def cas(spark, d):
-    e = table(spark, d, "events").where("event_id % 5 = 0")
+    e = table(spark, d, "events")
     user = F.col("user_id") + F.when(F.col("event_id") % 20 == 0, 1_000_000).otherwise(0)
     asks = e.select(F.lpad(user.cast("string"), 8, "0").alias("row"), F.lit("ev").alias("cf"), F.col("event_type").alias("qual"), F.col("value").alias("expected"), (F.col("value") + 1).alias("value"))
     return txn.compare_and_set(scan(fx.cells_events(spark, d), ev()), asks)
 
 
-@query(f"""WITH a AS ({_newest(1, f"SELECT * FROM ({fx.CELLS}) WHERE seq <= 800")}), b AS ({_newest(1, f"SELECT * FROM ({fx.CELLS}) WHERE seq <= 1000")}),
-x AS (SELECT "row", string_agg(qual || ':' || ts || ':' || value, ',' ORDER BY qual) AS g FROM a GROUP BY "row"), y AS (SELECT "row", string_agg(qual || ':' || ts || ':' || value, ',' ORDER BY qual) AS h FROM b GROUP BY "row")
-SELECT "row", coalesce(g = h, false) AS ok FROM x LEFT JOIN y USING ("row")""")
+def _reads(where: str) -> str:
+    early = _newest(1, f"SELECT * FROM ({fx.CELLS}) WHERE {where} AND seq <= (SELECT max(event_id) * 8 // 10 FROM events)")
+    late = _newest(1, f"SELECT * FROM ({fx.CELLS}) WHERE {where}")
+    cells = "string_agg(qual || ':' || ts || ':' || value, ',' ORDER BY qual)"
+    return f"""WITH x AS (SELECT "row", {cells} AS g FROM ({early}) GROUP BY "row"), y AS (SELECT "row", {cells} AS h FROM ({late}) GROUP BY "row")
+SELECT u."row" AS "row", coalesce(g = h, g IS NULL AND h IS NULL) AS ok FROM (SELECT DISTINCT "row" FROM ({fx.CELLS})) u LEFT JOIN x USING ("row") LEFT JOIN y USING ("row")"""
+
+
+@query(_reads("true"))
 def txn_validate_reads(spark, d):
+    """All rows, read at four fifths of the log and again at its end."""
     log = fx.cells_events(spark, d)
-    return txn.validate_reads(scan(log, ev(), ScanDescriptor(snapshot=800)), scan(log, ev(), ScanDescriptor(snapshot=1000)))
+    return txn.validate_reads(scan(log, ev(), ScanDescriptor(snapshot=_share(spark, d, 8))), scan(log, ev()), log.select("row"))
 
 
-@query("""SELECT event_id AS seq, row_number() OVER (PARTITION BY user_id ORDER BY event_id) = 1 AS ok FROM events WHERE event_id < 400""")
+@query(_reads("qual = 'error' AND value > 40"))
+def txn_phantom(spark, d):
+    """Reads that find nothing in many rows: an entry that comes later makes them fail too."""
+    log = fx.cells_events(spark, d)
+    seen = log.where("qual = 'error' and value > 40")
+    return txn.validate_reads(scan(seen, ev(), ScanDescriptor(snapshot=_share(spark, d, 8))), scan(seen, ev()), log.select("row"))
+
+
+@query("""SELECT event_id AS seq, row_number() OVER (PARTITION BY user_id ORDER BY event_id) = 1 AS ok FROM events""")
 def txn_first_of_batch(spark, d):
-    batch = fx.cells_events(spark, d).where("seq < 400").select("row", "seq")
-    return txn.first_of_batch(batch).select("seq", "ok")
+    return txn.first_of_batch(fx.cells_events(spark, d).select("row", "seq")).select("seq", "ok")
+
+
+# --- stored tables -----------------------------------------------------------------
+
+
+def _client(spark) -> Client:
+    return Client(spark, f"{scratch(spark)}/stored")
+
+
+def _nations(spark, d):
+    """25 rows, which the driver holds as any caller of apply() does."""
+    return table(spark, d, "nation").select("n_nationkey", "n_name").orderBy("n_nationkey").collect()
+
+
+def _written(spark, d):
+    """A table of nations, after a first batch of mutations; and the second batch."""
+    rows = _nations(spark, d)
+    t = _client(spark).create_table("t{lg0{a<maxversions=2>},lg1{n,s}}", ["n10"])
+    key = lambda r: f"n{r.n_nationkey:02d}"
+    t.apply([RowMutation(key(r)).put("a", "name", r.n_name).add_int64("n", "hits", 3 * r.n_nationkey).append("s", "log", "x").put_if_absent("a", "first", r.n_nationkey) for r in rows], 1_000_000)
+    batch = []
+    for r in rows:
+        m, k = RowMutation(key(r)), r.n_nationkey
+        if k % 2 == 0:
+            m.put("a", "name", f"{r.n_name}!").add_int64("n", "hits", 5).append("s", "log", "y").put_if_absent("a", "first", 99)
+        if k % 5 == 0:
+            m.delete_columns("a", "name")
+        if k % 3 == 1:
+            m.delete_family("s")
+        if k % 8 == 6:
+            m.delete_column("a", "name")
+        if k % 7 == 0:
+            m.delete_row()
+        batch.append(m)
+    return t, batch
+
+
+_NATION_CELLS = """SELECT 'n' || lpad(CAST(n_nationkey AS VARCHAR), 2, '0') AS "row", n_nationkey AS k, n_name FROM nation"""
+
+
+@query(f"""WITH b AS ({_NATION_CELLS})
+SELECT "row", 'a' AS cf, 'name' AS qual, n_name || CASE WHEN k % 2 = 0 AND k % 8 <> 6 THEN '!' ELSE '' END AS value FROM b WHERE k % 5 <> 0 AND k % 7 <> 0
+UNION ALL SELECT "row", 'n', 'hits', CAST(3 * k + CASE WHEN k % 2 = 0 THEN 5 ELSE 0 END AS VARCHAR) FROM b WHERE k % 7 <> 0
+UNION ALL SELECT "row", 's', 'log', 'x' || CASE WHEN k % 2 = 0 THEN 'y' ELSE '' END FROM b WHERE k % 3 <> 1 AND k % 7 <> 0
+UNION ALL SELECT "row", 'a', 'first', CAST(k AS VARCHAR) FROM b WHERE k % 7 <> 0""")
+def mutate_then_scan(spark, d):
+    """Every kind of mutation, applied in two batches and read back."""
+    t, batch = _written(spark, d)
+    t.apply(batch, 2_000_000)
+    return t.scan().select("row", "cf", "qual", "value")
+
+
+@query(f"""WITH b AS (SELECT * FROM ({_NATION_CELLS}) WHERE k % 2 = 0)
+SELECT "row", 'a' AS cf, 'name' AS qual, n_name AS value FROM b UNION ALL SELECT "row", 'n', 'hits', CAST(3 * k AS VARCHAR) FROM b UNION ALL SELECT "row", 's', 'log', 'x' FROM b UNION ALL SELECT "row", 'a', 'first', CAST(k AS VARCHAR) FROM b""")
+def rollback_get(spark, d):
+    """A batch get after a rollback to a snapshot."""
+    t, batch = _written(spark, d)
+    snapshot = t.snapshot()
+    t.apply(batch, 2_000_000)
+    t.rollback(snapshot)
+    keys = table(spark, d, "nation").where("n_nationkey % 2 = 0").select(F.format_string("n%02d", F.col("n_nationkey").cast("int")).alias("row"))
+    return t.batch_get(keys).select("row", "cf", "qual", "value")
+
+
+@query("""SELECT 'n' || lpad(CAST(n_nationkey AS VARCHAR), 2, '0') AS "row", CASE WHEN n_nationkey % 6 = 0 THEN 'again' ELSE n_name END AS value FROM nation WHERE (n_nationkey % 6 = 0 OR n_nationkey % 4 <> 0) AND (n_nationkey % 6 = 0 OR n_nationkey > 10)""")
+def kv_put_ttl(spark, d):
+    """Values of a key-value table that were put with a time to live of as many seconds as their number, deleted, and put again, read ten seconds later."""
+    t = _client(spark).create_table("k<rawkey=ttlkv>")
+    key = lambda r: f"n{r.n_nationkey:02d}"
+    rows = _nations(spark, d)
+    t.apply([RowMutation(key(r)).put_kv(r.n_name, r.n_nationkey) for r in rows], 10_000_000)
+    t.apply([RowMutation(key(r)).delete_kv() for r in rows if r.n_nationkey % 4 == 0], 11_000_000)
+    t.apply([RowMutation(key(r)).put_kv("again") for r in rows if r.n_nationkey % 6 == 0], 12_000_000)
+    return t.scan(now_us=20_000_000)
+
+
+@query(f"""SELECT "row", cf, qual, ts, value FROM ({_newest()}) WHERE "row" || ' ' || qual > '00000040 click' ORDER BY 1, 3""")
+def scan_resume(spark, d):
+    """A scan that goes on after a cell in the middle of a row."""
+    return scans.resume_after(scan(fx.cells_events(spark, d), ev()), ("00000040", "ev", "click", 0)).orderBy("row", "cf", "qual")
+
+
+@query(f"""SELECT "row", qual, value FROM ({_newest()}) ORDER BY value DESC, "row", qual LIMIT 10""")
+def view_top(spark, d):
+    return scan(fx.cells_events(spark, d), ev()).select("row", "qual", "value").orderBy(F.desc("value"), "row", "qual").limit(10)
 
 
 # --- observers ---------------------------------------------------------------------
@@ -630,9 +745,12 @@ def new_order(spark, d):
     return workloads.new_order(spark, d)
 
 
-@query("SELECT event_id, md5(props) AS digest, md5(props) = md5(props || '') AS verified FROM events")
+@query("""SELECT event_id, md5(props) AS digest, event_id % 7 <> 0 AS verified FROM events""")
 def mark_checksum(spark, d):
-    return table(spark, d, "events").select("event_id", F.md5("props").alias("digest"), (F.md5("props") == F.md5(F.concat("props", F.lit("")))).alias("verified"))
+    """Payloads stored with their checksum, every seventh of them damaged since."""
+    e = table(spark, d, "events").select("event_id", "props", F.md5("props").alias("digest"))
+    stored = e.withColumn("props", F.when(F.col("event_id") % 7 == 0, F.concat("props", F.lit("?"))).otherwise(F.col("props")))
+    return stored.select("event_id", "digest", (F.md5("props") == F.col("digest")).alias("verified"))
 
 
 # --- functions and text sources ------------------------------------------------------
@@ -662,10 +780,8 @@ def string_functions(spark, d):
 
 @query("""SELECT event_id, strftime(ts, '%Y%m%d-%H:%M:%S') AS stamp, epoch_us(ts) // 1000000 * 1000000 AS back FROM events""")
 def time_functions(spark, d):
-    # a zone of its own would shift both ways, so text and number are of the zone-free value
-    e = table(spark, d, "events")
-    stamp = F.date_format(F.col("ts"), "yyyyMMdd-HH:mm:ss")
-    return e.select("event_id", stamp.alias("stamp"), (F.floor(fx.micros(e, "ts") / 1_000_000) * 1_000_000).alias("back"))
+    stamp = codecs.time_text(fx.micros(table(spark, d, "events"), "ts"))
+    return table(spark, d, "events").select("event_id", stamp.alias("stamp"), codecs.time_of(stamp).alias("back"))
 
 
 @query()
