@@ -115,10 +115,8 @@ def _merged(s: DataFrame, w_cell, ordered, numeric: bool) -> DataFrame:
 
 def compact(log: DataFrame, schema: TableSchema, now_us: int | None = None) -> DataFrame:
     """The log rewritten as the puts that are visible in it: reading either gives the same cells."""
-    top = log.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("_s"))
-    cells = resolve(log, schema, now_us)
-    # one row: the greatest sequence number
-    return cells.crossJoin(F.broadcast(top)).select(*CELL, "ts", F.lit(VALUE).cast("byte").alias("type"), "value", F.col("_s").alias("seq"))
+    top = log.agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]
+    return resolve(log, schema, now_us).select(*CELL, "ts", F.lit(VALUE).cast("byte").alias("type"), "value", F.lit(top).cast("long").alias("seq"))
 
 
 def row_maps(cells: DataFrame) -> DataFrame:
