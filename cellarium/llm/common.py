@@ -5,7 +5,7 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -109,3 +109,12 @@ def fresh(df: DataFrame, name: str) -> str:
 def columns_of(df: DataFrame) -> list[Column]:
     """All columns of df, whatever their names hold."""
     return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
+def set_apart(df: DataFrame, *names: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """df with all columns but `names` in one struct, so that none can clash with an operator's own; and what restores df's columns in a result that kept the struct."""
+    box = fresh(df, "_rest")
+    quoted = {c: "`" + c.replace("`", "``") + "`" for c in df.columns}
+    others = [F.col(q) for c, q in quoted.items() if c not in names]
+    packed = df.select(*names, *([F.struct(*others).alias(box)] if others else []))
+    return packed, lambda out: out.select(*(F.col(q if c in names else f"{box}.{q}") for c, q in quoted.items()))

@@ -9,15 +9,16 @@ kinds of bin.
 Pieces are then numbered within their length (in two steps, so that a common length isn't ordered in one task) and look
 up their sequence and offset by number.
 
-Defined cases: a null text is empty and gives the end token alone; repeated rows are packed one by one; an empty table
+Defined cases: a null text is empty and gives the end token alone; a special token's name in a text is that token, as the
+tokenizer has it; pieces of one length are interchangeable, and are numbered by id, piece and checksum; repeated rows are packed one by one; an empty table
 has no sequences; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import functools
+import json
 import os
-import re
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -29,13 +30,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cellarium.llm.common import materialize, slices, text_buffer
+from cellarium.llm.common import bound_batches, materialize, slices, text_buffer
+from cellarium.llm.textvec import hash_runs, runs
 
 SIZE, END = 4096, 1
-#: Words whose ids a worker remembers, and twice as many pieces of words; most of the rest stand once in a corpus.
-KNOWN_WORDS = 120_000
-#: Parts that pieces of one length are numbered in.
-PARTS = 64
+#: Pieces of words whose ids a worker remembers, and ids of one such piece. A power of two: a piece's place is its hash.
+SLOTS, WIDTH = 1 << 20, 8
+#: Pieces of one length that are numbered together.
+PART_ROWS = 50_000
 
 _PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long"
 
@@ -46,10 +48,19 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-#: Words of visible ASCII but the apostrophe, and of Latin-1 letters: normalising such a word only lowers it.
-_PLAIN = re.compile(r"[!-&(-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
-#: What the tokenizer's pattern cuts a plain lower-case word into.
-_CUTS = re.compile(r"[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
+#: Kinds of bytes: white space, letters, digits and marks of plain words, the lead byte of U+00C0 to U+00FF, and all others.
+_BLANK, _LETTER, _DIGIT, _MARK, _LATIN, _OTHER = range(6)
+_KIND = np.full(256, _OTHER, np.uint8)
+_KIND[[9, 10, 11, 12, 13, 32]] = _BLANK
+_KIND[33:127] = _MARK
+_KIND[48:58] = _DIGIT
+_KIND[65:91] = _KIND[97:123] = _LETTER
+_KIND[0xC3] = _LATIN
+_KIND[39] = _OTHER  # an apostrophe may begin an ending, which is a piece of its own
+#: What a tokenizer must say of itself for its words to be cut here.
+_NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+_SPLIT = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
+_BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
 
 
 def _byte_letters() -> list[str]:
@@ -59,11 +70,13 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in seen else chr(next(rest)) for b in range(256)]
 
 
-class WordIds(dict):
-    """Blank-delimited word -> its token ids as little-endian bytes.
+class PieceIds:
+    """Token ids of texts. White space is dropped and no token crosses it, so a text's ids are those of its words, one after another.
 
-    The tokenizer drops white space and no token crosses it, so a text's ids are those of its words, one after another.
-    Plain words are cut here and their pieces handed to the tokenizer's model; all others go through the whole tokenizer.
+    Plain words (visible ASCII without apostrophes or special tokens, and letters of Latin-1) are lowered and cut into
+    pieces here, all of a slice at once, and the tokenizer's model is asked for pieces that the worker doesn't remember;
+    any other word goes through the whole tokenizer. Pieces are known by 64-bit hashes. A tokenizer of another kind gets
+    every text whole.
     """
 
     def __init__(self, path: str):
@@ -71,72 +84,137 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        with open(path, encoding="utf-8") as f:
+            told = json.load(f)
+        self.cuts = (
+            (told["normalizer"] or {}).get("normalizers") == _NORMALIZERS and (told["pre_tokenizer"] or {}).get("pretokenizers") == [_SPLIT, _BYTES]
+            and told["model"]["type"] == "BPE" and not told["truncation"] and not told["padding"] and len(told["model"]["vocab"]) < 1 << 16
+            and all(t["content"].startswith("<|") and not t["lstrip"] and not t["rstrip"] and not t["single_word"] and not t["normalized"] for t in told["added_tokens"])
+        )
         self.model, self.letters = self.tokenizer.model, _byte_letters()
-        self.pieces, self.older = {}, {}
-
-    def _piece(self, piece: str) -> bytes:
-        got = self.pieces.get(piece)
-        if got is None and (got := self.older.get(piece)) is not None:
-            self.pieces[piece] = got
-        if got is None:
-            seen = piece if piece.isascii() else "".join(map(self.letters.__getitem__, piece.encode()))
-            got = self.pieces[piece] = np.array([t.id for t in self.model.tokenize(seen)], "<u4").tobytes()
-        return got
-
-    def learn(self, words: set[bytes]) -> None:
-        new = [w for w in words if w not in self]
-        if len(self) + len(new) > KNOWN_WORDS:
-            self.clear()
-            new = list(words)
-        if len(self.pieces) > KNOWN_WORDS:
-            self.pieces, self.older = {}, self.pieces
-        other = []
-        for w in new:
-            text = w.decode()
-            if _PLAIN.fullmatch(text):
-                self[w] = b"".join(map(self._piece, _CUTS.findall(text.lower())))
+        self.keys, self.counts, self.ids = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.uint8), np.zeros((SLOTS, WIDTH), np.uint16)
+
+    def of_texts(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after another, and the n + 1 offsets into them."""
+        if not self.cuts:
+            raw = buf.tobytes()
+            ids = [self.tokenizer.encode(raw[a:b].decode(), add_special_tokens=False).ids for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+            return np.concatenate([np.zeros(0, np.int64), *(np.array(x, np.int64) for x in ids)]), np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int64)
+        low, starts, ends, whole = cut_words(buf, offsets)
+        count, flat = self._known(low, starts, ends, whole)
+        tokens = np.concatenate([[0], np.cumsum(count)])
+        return flat, tokens[np.searchsorted(starts, offsets)]
+
+    def _known(self, low: np.ndarray, starts: np.ndarray, ends: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The number of ids of each piece, and all ids."""
+        h = hash_runs(low, starts, ends) | np.uint64(1)  # 0 is no piece
+        slot = (h >> np.uint64(20) & np.uint64(SLOTS - 1)).astype(np.int64)
+        missed = np.flatnonzero(self.keys[slot] != h)
+        longer: dict[int, np.ndarray] = {}
+        if len(missed):
+            _, first, which = np.unique(h[missed], return_index=True, return_inverse=True)
+            asked = missed[first]
+            got = self._ask([low[a:b].tobytes() for a, b in zip(starts[asked].tolist(), ends[asked].tolist())], whole[asked])
+        count, rows = self.counts[slot].astype(np.int64), self.ids[slot]
+        if len(missed):
+            size = np.array([len(x) for x in got])
+            new = np.zeros((len(got), WIDTH), np.uint16)
+            for k, x in enumerate(got):
+                new[k, : min(len(x), WIDTH)] = x[:WIDTH]
+            count[missed], rows[missed] = size[which], new[which]
+            short = size <= WIDTH
+            at, one = np.unique(slot[asked[short]], return_index=True)  # of pieces for one slot, one stays
+            self.keys[at], self.counts[at], self.ids[at] = h[asked[short]][one], size[short][one], new[short][one]
+            longer = {int(p): got[w] for p, w in zip(missed[~short[which]], which[~short[which]])}
+        if not longer:
+            return count, rows[np.arange(WIDTH) < count[:, None]].astype(np.int64)
+        out, at = [], 0
+        for p in sorted(longer):
+            out += [rows[at:p][np.arange(WIDTH) < count[at:p, None]], np.array(longer[p], np.uint16)]
+            at = p + 1
+        return count, np.concatenate([*out, rows[at:][np.arange(WIDTH) < count[at:, None]]]).astype(np.int64)
+
+    def _ask(self, pieces: list[bytes], whole: np.ndarray) -> list[list[int]]:
+        out: list[list[int]] = []
+        for piece, entire in zip(pieces, whole.tolist()):
+            if entire:
+                out.append(self.tokenizer.encode(piece.decode(), add_special_tokens=False).ids)
             else:
-                other.append(w)
-        for at in range(0, len(other), 20_000):
-            part = other[at : at + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
-                self[w] = np.array(e.ids, "<u4").tobytes()
-
-    def of_texts(self, texts: list[bytes]) -> list[bytes]:
-        words = [t.split() for t in texts]
-        self.learn(set().union(*words))
-        return [b"".join(map(self.__getitem__, w)) for w in words]
+                seen = piece.decode() if piece.isascii() else "".join(map(self.letters.__getitem__, piece))
+                out.append([t.id for t in self.model.tokenize(seen)])
+        return out
+
+
+def cut_words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The texts with plain words lowered; starts and ends of plain words' pieces and of all other words; and whether it's such a word."""
+    n = len(buf)
+    kind, low = _KIND[buf], buf.copy()
+    upper = (buf >= 65) & (buf <= 90)
+    low[upper] += 32
+    lead = np.flatnonzero(kind == _LATIN)
+    if len(lead):
+        tail = buf[np.minimum(lead + 1, n - 1)]
+        kind[lead] = kind[lead + 1] = np.where((tail == 0x97) | (tail == 0xB7), _OTHER, _LETTER)
+        high = (tail < 0x9F) & (tail != 0x97)
+        low[lead[high] + 1] += 32
+    kind[:-1][(buf[:-1] == 60) & (buf[1:] == 124)] = _OTHER  # "<|" may begin a special token
+    inside = kind != _BLANK
+    first = np.zeros(n, bool)
+    first[offsets[:-1][offsets[:-1] < n]] = True
+    cut = np.ones(n, bool)
+    cut[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT)
+    other = np.flatnonzero(kind == _OTHER)
+    odd = np.zeros(n + 1, np.int32)
+    if len(other):
+        starts, ends, _ = runs(inside, offsets)
+        words = np.unique(np.searchsorted(starts, other, "right") - 1)
+        odd[starts[words]] += 1
+        odd[ends[words]] -= 1
+        np.cumsum(odd, out=odd)
+        within = odd[:-1] > 0
+        low[within] = buf[within]
+        cut[within] = False
+        cut[starts[words]] = True
+    begins = np.flatnonzero(inside & (cut | first))
+    last = np.ones(n, bool)
+    last[:-1] = ~inside[1:] | cut[1:] | first[1:]
+    return low, begins, np.flatnonzero(inside & last) + 1, odd[begins] > 0
 
 
 @functools.lru_cache(1)
-def worker_ids(path: str) -> WordIds:
+def worker_ids(path: str) -> PieceIds:
     """One for all tasks of a worker process."""
-    return WordIds(path)
+    return PieceIds(path)
 
 
 def _tokenize(path: str, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = worker_ids(path)
-        end = np.array([END], "<u4").tobytes()
         for batch in batches:
             for part in slices(batch, "text"):
-                buf, offsets = text_buffer(part.column("text"))
-                raw = buf.tobytes()
-                out: list[tuple[int, int, int, int, int]] = []
-                for doc, body in zip(part.column("doc_id").to_pylist(), ids.of_texts([raw[a:b] for a, b in zip(offsets[:-1], offsets[1:])])):
-                    body += end
-                    for piece, at in enumerate(range(0, len(body), 4 * size)):
-                        cut = body[at : at + 4 * size]
-                        out.append((doc, piece, piece * size, len(cut) // 4, zlib.crc32(cut)))
-                cols = list(zip(*out)) if out else [[]] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64()))], ["doc_id", "piece", "start", "length", "ids_crc32"])
+                flat, offsets = ids.of_texts(*text_buffer(part.column("text")))
+                n = len(offsets) - 1
+                # the end token follows each document
+                at = offsets + np.arange(n + 1)
+                every = np.full(at[-1], END, "<u4")
+                every[np.arange(len(flat)) + np.repeat(np.arange(n), np.diff(offsets))] = flat
+                length = np.diff(at)
+                pieces = -(-length // size)
+                row = np.repeat(np.arange(n), pieces)
+                number = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                start = at[row] + number * size
+                end = np.minimum(start + size, at[row + 1])
+                crc = [zlib.crc32(every[a:b]) for a, b in zip(start.tolist(), end.tolist())]
+                yield pa.RecordBatch.from_arrays([
+                    part.column("doc_id").take(pa.array(row)), pa.array(number.astype(np.int32)), pa.array(number * size), pa.array((end - start).astype(np.int32)), pa.array(crc, pa.int64()),
+                ], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return run
 
 
 def tokenized_pieces(docs: DataFrame, path: str, size: int = SIZE) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of every document's pieces."""
+    bound_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(_tokenize(path, size), _PIECES)
 
 
@@ -256,15 +334,16 @@ def _placer(bc):
     return run
 
 
-def pack(pieces: DataFrame, size: int = SIZE) -> DataFrame:
+def pack(pieces: DataFrame, size: int = SIZE, part_rows: int = PART_ROWS) -> DataFrame:
     """pieces (doc_id, piece, start, length, ids_crc32), each read more than once, with sequence_id and offset."""
     spark = pieces.sparkSession
-    pieces = pieces.withColumn("_part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(PARTS)).cast("int"))
-    # at most size * PARTS rows, however many pieces there are
+    bound_batches(spark)
+    counts = {r.length: r.n for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `size` rows
+    parts = 1 + max(counts.values(), default=0) // part_rows
+    pieces = pieces.withColumn("_part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(parts)).cast("int"))
     per_part = pieces.groupBy("length", "_part").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     base = per_part.select("length", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    counts = {r.length: r.n for r in per_part.groupBy("length").agg(F.sum("_n").alias("n")).collect()}
     rank = F.row_number().over(Window.partitionBy("length", "_part").orderBy("doc_id", "piece", "ids_crc32"))
     numbered = pieces.withColumn("_rank", rank).join(base, ["length", "_part"]).withColumn("_number", (F.col("_base") + F.col("_rank") - 1).cast("long"))
     places = spark.sparkContext.broadcast(Places(plan(counts, size)))  # its size depends on the lengths only
