@@ -15,6 +15,7 @@ follows; it says the same as `scan` where documents have neither, nor copyright
 
 from __future__ import annotations
 
+import functools
 import re
 from pathlib import Path
 
@@ -85,43 +86,69 @@ def full_texts() -> tuple[tuple[str, str, str], ...]:
 
 #: Patterns of spellings and what stands for them all.
 SPELLINGS = (
-    (r"\blicen[cs]e(s|d|e|es)?\b", r"license\1"), (r"\blicensing\b", "licensing"), (r"\blicencing\b", "licensing"), (r"\bsub license", "sublicense"), (r"\bnon commercial\b", "noncommercial"),
+    (r"\blicen[cs]e(s|d|e|es)?\b", r"license\1"), (r"\blicencing\b", "licensing"), (r"\bsub license", "sublicense"), (r"\bnon commercial\b", "noncommercial"),
     (r"\bnon infringement\b", "noninfringement"), (r"\bmerchantibility\b", "merchantability"), (r"\borganis", "organiz"), (r"\bauthoris", "authoriz"), (r"\bfavour", "favor"), (r"\bwhilst\b", "while"),
     (r"\bper cent\b", "percent"), (r"\bcopyright (owner|holder)", r"copyright holder"), (r"\bhttps?\b", "http"), (r"\bv(er|ersion)? ?([0-9])", r"version \2"),
 )
 _COPYRIGHT = r"(^|\n)[ \t]*(copyright( ?\(c\))? [^\n]*|\(c\)[^\n]*|©[^\n]*)"
-#: A copyright line, with what may mark it as a comment; a line of prose or of a licence that begins with the word is none.
-_COPYRIGHT_LINE = r"(^|\n)[\p{P}\p{S} \t]*((rem|dnl)[ \t]+)?(copyright(?![ \t]+(notices?|owners?|holders?|licen[cs]es?|laws?|statements?|interests?|protection|and|or|in|is|to|of|for)\b)( ?\(c\))? [^\n]*|\(c\)[^\n]*|©[^\n]*)"
+#: A copyright line, with what may mark it as a comment; a line of prose or of a licence that begins with the word is none, nor is a clause (c).
+_COPYRIGHT_LINE = r"(^|\n)[\p{P}\p{S} \t]*((rem|dnl)[ \t]+)?(copyright(?![ \t]+(notices?|owners?|holders?|licen[cs]es?|laws?|statements?|interests?|protection|and|or|in|is|to|of|for)\b)( ?\(c\))? [^\n]*|\(c\)(?![ \t]+(you|the|any|all|an?|if|each|such)\b)[^\n]*|©[^\n]*)"
 _PUNCTUATION = r"[\p{P}\p{S}]+"
 _BLANKS = r"[ \t\r\f\x0B]+"
 
 
+#: What a text must hold for a rule to have anything to change; finding a word is far cheaper than matching a pattern.
+_COPYRIGHT_HINTS = ("copyright", "(c)", "©")
+_SPELLING_HINTS = (("licen",), ("licencing",), ("sub license",), ("non commercial",), ("non infringement",), ("merchantibility",), ("organis",), ("authoris",), ("favour",), ("whilst",), ("per cent",), ("copyright ",), ("http",), ())
+#: Marks and blanks of ASCII but a single blank, which stays; and any character that may be a mark beyond ASCII.
+_ASCII_GAPS = r"[!-/:-@\[-`{-~\t\r\f\x0B][!-/:-@\[-`{-~ \t\r\f\x0B]*| [!-/:-@\[-`{-~ \t\r\f\x0B]+"
+_GAPS = r"[\p{P}\p{S}\t\r\f\x0B][\p{P}\p{S} \t\r\f\x0B]*| [\p{P}\p{S} \t\r\f\x0B]+"
+_BEYOND = r"[^\x00-\x7F\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]"
+
+
+def _let(value: Column, then) -> Column:
+    """then(value), with value written out once, however often `then` uses it."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def canonical_lines(text: Column) -> Column:
     """The canonical form with its line breaks."""
-    out = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), _COPYRIGHT_LINE, "\n")
-    out = F.regexp_replace(F.regexp_replace(out, _PUNCTUATION, " "), _BLANKS, " ")
-    for pattern, to in SPELLINGS:
-        out = F.regexp_replace(out, pattern, to.replace("\\", "$"))
-    return F.regexp_replace(out, r" ?\n ?", "\n")
+
+    def rule(now: Column, when, then) -> Column:
+        return _let(now, lambda x: F.when(when(x), then(x)).otherwise(x))
+
+    holds = lambda hints: lambda x: functools.reduce(Column.__or__, [F.contains(x, F.lit(h)) for h in hints])
+    now = rule(F.lower(F.coalesce(text, F.lit(""))), holds(_COPYRIGHT_HINTS), lambda x: F.regexp_replace(x, _COPYRIGHT_LINE, "\n"))
+    now = _let(now, lambda x: F.when(x.rlike(_BEYOND), F.regexp_replace(x, _GAPS, " ")).otherwise(F.regexp_replace(x, _ASCII_GAPS, " ")))
+    for (pattern, to), hints in zip(SPELLINGS, _SPELLING_HINTS):
+        now = rule(now, holds(hints) if hints else lambda x: x.rlike("[0-9]"), lambda x, p=pattern, t=to: F.regexp_replace(x, p, t.replace("\\", "$")))
+    return F.regexp_replace(now, r" ?\n ?", "\n")
+
+
+def _flat(unit: Column) -> Column:
+    """A unit of the canonical form in one line; it has single blanks already, and none beside a line break."""
+    return F.trim(F.regexp_replace(unit, r"\n+", " "))
 
 
 def _digest(unit: Column) -> Column:
-    return F.sha2(F.trim(F.regexp_replace(unit, r"[ \n]+", " ")), 256)
+    return F.sha2(_flat(unit), 256)
+
+
+def _forms(spark: SparkSession, licenses) -> DataFrame:
+    rows = spark.createDataFrame([(i, *x) for i, x in enumerate(licenses)], "i int, license string, kind string, text string")
+    return rows.withColumn("_c", canonical_lines(F.col("text")))
 
 
 def known_digests(spark: SparkSession, licenses=LICENSES) -> DataFrame:
     """(digest, license, kind, length) of each distinct canonical text; the first of equal ones counts."""
-    rows = spark.createDataFrame([(i, *x) for i, x in enumerate(licenses)], "i int, license string, kind string, text string")
-    form = rows.withColumn("_c", canonical_lines(F.col("text")))
-    one = form.select("i", "license", "kind", _digest(F.col("_c")).alias("digest"), F.length(F.trim(F.regexp_replace("_c", r"[ \n]+", " "))).alias("length"))
+    one = _forms(spark, licenses).select("i", "license", "kind", _digest(F.col("_c")).alias("digest"), F.length(_flat(F.col("_c"))).alias("length"))
     return one.where("length > 0").groupBy("digest").agg(F.min_by(F.struct("license", "kind", "length"), "i").alias("x")).select("digest", "x.*")
 
 
 def known_parts(spark: SparkSession, licenses) -> list:
     """(license, kind, parts, hashes) of each distinct set of paragraphs, the first of equal ones: the paragraphs' digests and short hashes."""
-    rows = spark.createDataFrame([(i, *x) for i, x in enumerate(licenses)], "i int, license string, kind string, text string")
-    units = F.filter(F.transform(F.split(canonical_lines(F.col("text")), r"\n\n+"), lambda u: F.trim(F.regexp_replace(u, r"[ \n]+", " "))), lambda u: u != "")
-    form = rows.select("i", "license", "kind", F.array_distinct(units).alias("u")).where(F.size("u") > 0)
+    units = F.filter(F.transform(F.split("_c", r"\n\n+"), _flat), lambda u: u != "")
+    form = _forms(spark, licenses).select("i", "license", "kind", F.array_distinct(units).alias("u")).where(F.size("u") > 0)
     first = {}
     for r in sorted(form.select("i", "license", "kind", F.transform("u", lambda u: F.sha2(u, 256)).alias("parts"), F.transform("u", lambda u: F.xxhash64(u)).alias("hashes")).collect()):  # a fixed list, not the corpus
         first.setdefault(frozenset(r.parts), r)
@@ -131,33 +158,33 @@ def known_parts(spark: SparkSession, licenses) -> list:
 def scan(docs: DataFrame, licenses=None) -> DataFrame:
     """(doc_id, digest, text_license, licenses, kinds, n_notices): the licence the entire text is, and those its paragraphs and lines hold.
 
-    licenses: (id, kind, text); LICENSES and full_texts() by default.
+    licenses: (id, kind, text); LICENSES and full_texts() by default. Texts are read once and only digests are joined.
     """
     spark = docs.sparkSession
     licenses = (*LICENSES, *full_texts()) if licenses is None else licenses
-    known = known_digests(spark, licenses).cache()
     groups = known_parts(spark, licenses)
     sets = [frozenset(r.parts) for r in groups]
-    more = F.array(*(F.array(*(F.lit(h) for h, x in enumerate(sets) if x > s)).cast("array<int>") for s in sets or [()]))
-    name, kind = F.lit([r.license for r in groups] or [""]), F.lit([r.kind for r in groups] or [""])
-    parts = F.broadcast(spark.createDataFrame([(d, g, len(s)) for g, s in enumerate(sets) for d in s], "_d string, _g int, _n int"))
+    numbers = {d: k for k, d in enumerate(sorted(set().union(*sets)))}
+    # for each known text: its name and kind, its paragraphs, and the known texts that have more
+    told = F.array(*(
+        F.struct(F.lit(g).alias("g"), F.lit(r.license).alias("license"), F.lit(r.kind).alias("kind"), F.lit(sorted(numbers[d] for d in s)).alias("parts"), F.lit([h for h, x in enumerate(sets) if x > s]).cast("array<int>").alias("more"))
+        for g, (r, s) in enumerate(zip(groups, sets))
+    ))
     hashes = sorted({h for r in groups for h in r.hashes})
-    form = docs.select("doc_id", canonical_lines(F.col("text")).alias("_c"))
-    whole = form.select("doc_id", "_c", _digest(F.col("_c")).alias("digest"))
-    units = F.concat(F.split("_c", r"\n"), F.split("_c", r"\n\n+"))
-    flat = F.transform(units, lambda u: F.trim(F.regexp_replace(u, r"[ \n]+", " ")))
     # only a unit that has some known paragraph's short hash needs a digest
-    found = F.transform(F.filter(flat, lambda u: F.xxhash64(u).isin(hashes) if hashes else F.lit(False)), lambda u: F.sha2(u, 256))
-    hits = whole.select("doc_id", "digest", F.explode(F.array_distinct(found)).alias("_d")).distinct().join(parts, "_d")
-    held = hits.groupBy("doc_id", "digest", "_g", "_n").agg(F.count(F.lit(1)).alias("_k")).where("_k = _n").groupBy("doc_id", "digest").agg(F.collect_set("_g").alias("_all"))
-    widest = held.select("doc_id", "digest", F.filter("_all", lambda g: ~F.arrays_overlap(F.element_at(more, g + 1), F.col("_all"))).alias("_gs"))
-    names = lambda of: F.array_join(F.array_sort(F.array_distinct(F.transform("_gs", lambda g: F.element_at(of, g + 1)))), ",")
-    per_text = widest.select("doc_id", "digest", names(name).alias("licenses"), names(kind).alias("kinds"), F.size("_gs").alias("n_notices"))
-    named = whole.select("doc_id", "digest").join(known.select("digest", F.col("license").alias("text_license")), "digest", "left")
-    same = named.doc_id.eqNullSafe(per_text.doc_id) & (named.digest == per_text.digest)
-    return named.join(per_text, same, "left").select(
-        named.doc_id, named.digest, "text_license", F.coalesce("licenses", F.lit("")).alias("licenses"), F.coalesce("kinds", F.lit("")).alias("kinds"), F.coalesce("n_notices", F.lit(0)).cast("long").alias("n_notices")
-    )
+    asked = lambda units: F.filter(units, lambda u: F.xxhash64(u).isin(hashes) if hashes else F.lit(False))
+    units = lambda c: F.concat(asked(F.transform(F.split(c, r"\n"), lambda u: F.trim(u))), asked(F.transform(F.split(c, r"\n\n+"), _flat)))
+    place = F.create_map(*(F.lit(x) for pair in (numbers or {"": -1}).items() for x in pair))
+    parts = lambda c: F.array_distinct(F.filter(F.transform(units(c), lambda u: F.element_at(place, F.sha2(u, 256))), F.isnotnull))
+    held = lambda c: _let(parts(c), lambda p: F.when(F.size(p) > 0, F.filter(told, lambda t: F.size(F.array_except(t.parts, p)) == 0)))
+    widest = lambda c: _let(held(c), lambda all_: F.filter(all_, lambda t: ~F.arrays_overlap(t.more, F.transform(all_, lambda x: x.g))))
+    names = lambda field, found: F.coalesce(F.array_join(F.array_sort(F.array_distinct(F.transform(found, lambda t: t[field]))), ","), F.lit(""))
+    said = lambda found: F.struct(names("license", found).alias("licenses"), names("kind", found).alias("kinds"), F.greatest(F.size(found), F.lit(0)).cast("long").alias("n_notices"))
+    none = F.lit(None).cast("array<struct<license:string,kind:string>>")
+    judged = docs.select("doc_id", _let(canonical_lines(F.col("text")), lambda c: F.struct(_digest(c).alias("digest"), (_let(widest(c), said) if groups else said(none)).alias("said"))).alias("_x"))
+    known = known_digests(spark, licenses).select(F.col("digest").alias("_digest"), F.col("license").alias("text_license"))
+    # one row for each known licence text
+    return judged.join(F.broadcast(known), F.col("_x.digest") == F.col("_digest"), "left").select("doc_id", "_x.digest", "text_license", "_x.said.licenses", "_x.said.kinds", "_x.said.n_notices")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
