@@ -76,6 +76,32 @@ def decode_integer(kind: str, raw: bytes) -> int:
     return struct.unpack(INT_FORMATS[kind], raw[: struct.calcsize(INT_FORMATS[kind])])[0]
 
 
+def _swapped(hexes: Column, width: int) -> Column:
+    """2 * width hexadecimal digits with their bytes in reverse."""
+    return F.concat(*(F.substring(hexes, 2 * i + 1, 2) for i in range(width - 1, -1, -1)))
+
+
+def integer_bytes(kind: str, c: Column) -> Column:
+    """encode_integer of a column of numbers that fit; null for null."""
+    width = struct.calcsize(INT_FORMATS[kind])
+    if kind == "uint64":  # numbers of over 63 bits are decimals
+        high, low = F.floor(c.cast("decimal(20,0)") / F.lit(1 << 32).cast("decimal(20,0)")).cast("bigint"), (c.cast("decimal(20,0)") % F.lit(1 << 32).cast("decimal(20,0)")).cast("bigint")
+        digits = F.concat(F.lpad(F.hex(high), 8, "0"), F.lpad(F.hex(low), 8, "0"))
+    else:
+        digits = F.lpad(F.substring(F.lpad(F.hex(c.cast("bigint")), 16, "0"), 17 - 2 * width, 2 * width), 2 * width, "0")
+    return F.unhex(_swapped(digits, width))
+
+
+def integer_of(kind: str, c: Column) -> Column:
+    """decode_integer of a binary column: a bigint, or a decimal(20,0) for uint64; null for fewer bytes."""
+    width = struct.calcsize(INT_FORMATS[kind])
+    plain = F.conv(_swapped(F.hex(c), width), 16, 10).cast("decimal(20,0)")
+    if not kind.startswith("u"):
+        whole = lambda n: F.lit(str(n)).cast("decimal(20,0)")  # noqa: E731  some are over 63 bits
+        plain = F.when(plain >= whole(1 << (8 * width - 1)), plain - whole(1 << (8 * width))).otherwise(plain)
+    return F.when(F.octet_length(c) >= width, plain.cast("decimal(20,0)" if kind == "uint64" else "bigint"))
+
+
 def encode_decimal(value: float) -> bytes:
     return struct.pack("<d", value)
 

@@ -8,6 +8,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from cellarium.functions.codecs import integer_of
+
 OPS = {
     "<": lambda a, b: a < b, "<=": lambda a, b: a <= b, "=": lambda a, b: a == b, "!=": lambda a, b: a != b, ">=": lambda a, b: a >= b, ">": lambda a, b: a > b,
 }
@@ -29,6 +31,7 @@ class ValueFilter:
     ref: object
     comparator: str = "decimal"  # or an integer type, or bytes
     if_missing_drop: bool = False
+    stored: bool = False  # values are an integer comparator's bytes, not numbers
 
     def __post_init__(self):
         if self.op not in OPS or self.comparator not in (*INTEGERS, "decimal", "bytes"):
@@ -43,6 +46,8 @@ class ValueFilter:
         if self.comparator == "bytes":
             return OPS[self.op](value, F.lit(self.ref))
         kind = INTEGERS[self.comparator]
+        if self.stored:
+            return OPS[self.op](integer_of(self.comparator, value), F.lit(self.ref).cast("decimal(20,0)"))
         return OPS[self.op](value.cast(kind), F.lit(self.ref).cast(kind))
 
     def keeps(self) -> Column:
@@ -55,12 +60,29 @@ class ValueFilter:
         return {self.cf}
 
 
+@dataclass(frozen=True)
+class ColumnFilter:
+    """Keeps rows of which some cell (or `every` cell) of the families makes a condition true: any filter of a user's own."""
+
+    condition: Column
+    of: tuple[str, ...]
+    every: bool = False
+
+    def keeps(self) -> Column:
+        mine = F.when(F.col("cf").isin(list(self.of)), self.condition)
+        over = Window.partitionBy("row")
+        return F.coalesce((F.min(mine) if self.every else F.max(mine)).over(over), F.lit(self.every))
+
+    def families(self) -> set[str]:
+        return set(self.of)
+
+
 @dataclass(frozen=True)
 class FilterList:
     """All (`and`) or any (`or`) of its parts must keep a row; an empty list keeps it."""
 
     how: str = "and"
-    parts: tuple[ValueFilter | FilterList, ...] = field(default_factory=tuple)
+    parts: tuple[ValueFilter | ColumnFilter | FilterList, ...] = field(default_factory=tuple)
 
     def keeps(self) -> Column:
         if not self.parts:

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from cellarium.functions.codecs import decode_counter, encode_counter
 from cellarium.schema import TableSchema
 
 #: Types of entries.
@@ -102,12 +103,16 @@ def _merged(s: DataFrame, w_cell, ordered, numeric: bool) -> DataFrame:
     s = s.withColumns({"_chain": in_chain, "_use": counts})
     whole = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     kind = s.schema["value"].dataType
-    total = F.sum(F.when(F.col("_use") & F.col("_ht").isin(ADD, ADD_INT64), F.col("value").cast("decimal(38,0)"))).over(whole).cast("long").cast(kind)
+    raw = isinstance(kind, T.BinaryType)  # counters are eight bytes then
+    number = decode_counter(F.col("value")) if raw else F.col("value")
+    total = F.sum(F.when(F.col("_use") & F.col("_ht").isin(ADD, ADD_INT64), number.cast("decimal(38,0)"))).over(whole).cast("long")
+    total = encode_counter(total) if raw else total.cast(kind)
     oldest = F.last(F.when(F.col("_use") & (F.col("_ht") == PUT_IF_ABSENT), F.col("value")), ignorenulls=True).over(whole)
     folded = F.when(F.col("_ht") == PUT_IF_ABSENT, oldest).when(F.col("_ht").isin(ADD, ADD_INT64), total)
     if not numeric:
         parts = F.collect_list(F.when(F.col("_use") & (F.col("_ht") == APPEND), F.col("value"))).over(whole)
-        folded = folded.when(F.col("_ht") == APPEND, F.array_join(F.reverse(parts), "").cast(kind))
+        joined = F.unhex(F.array_join(F.transform(F.reverse(parts), lambda v: F.hex(v)), "")) if raw else F.array_join(F.reverse(parts), "").cast(kind)
+        folded = folded.when(F.col("_ht") == APPEND, joined)
     s = s.withColumn("_folded", folded)
     head = F.col("_chain") & (F.row_number().over(ordered) == 1)
     return s.withColumn("_head", head).where("not _chain or _head").withColumn("value", F.when(F.col("_head"), F.col("_folded")).otherwise(F.col("value")))

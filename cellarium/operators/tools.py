@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cellarium.operators.resolve import CELL
+from cellarium.operators.resolve import CELL, DEL_ROW, VALUE
 
 
 def dump(cells: DataFrame, window: tuple[int, int] | None = None, families: dict[str, str] | None = None) -> DataFrame:
@@ -21,6 +21,29 @@ def dump(cells: DataFrame, window: tuple[int, int] | None = None, families: dict
     return cells
 
 
+def dump_to(cells: DataFrame, path: str, window: tuple[int, int] | None = None, families: dict[str, str] | None = None) -> None:
+    """Write cells of a window and of families, renamed, for load_from."""
+    dump(cells, window, families).select(*CELL, "ts", "value").write.mode("errorifexists").parquet(path)
+
+
+def load_from(spark: SparkSession, path: str, tables: dict[str, set[str]], failed: str, first_seq: int = 1) -> dict[str, DataFrame]:
+    """Logs for tables (name -> its families) from a dump's cells; cells of a family that no table has are written to `failed` with the reason.
+
+    Sequence numbers rise from first_seq; a dump has each cell version once, so that their order tells nothing.
+    """
+    cells = spark.read.parquet(path)
+    known = sorted(set().union(*tables.values())) if tables else []
+    bad = cells.where(~F.coalesce(F.col("cf").isin(known), F.lit(False))).withColumn("reason", F.lit("unknown family"))
+    bad.write.mode("errorifexists").parquet(failed)
+    log = cells.select(*CELL, "ts", F.lit(VALUE).cast("byte").alias("type"), "value", (F.monotonically_increasing_id() + first_seq).alias("seq"))
+    return {name: log.where(F.col("cf").isin(sorted(families))) for name, families in tables.items()}
+
+
+def stat_records(found: DataFrame, now_us: int) -> DataFrame:
+    """A log of corruption records: one row `!tablet` for each of found (tablet, what), which a later record replaces; without `what` the record is erased."""
+    return found.select(F.concat(F.lit("!"), "tablet").alias("row"), F.lit("corruption").alias("cf"), F.lit("what").alias("qual"), F.lit(now_us).cast("long").alias("ts"), F.when(F.col("what").isNull(), DEL_ROW).otherwise(VALUE).cast("byte").alias("type"), F.col("what").alias("value"), F.lit(now_us).cast("long").alias("seq"))
+
+
 def diff(src: DataFrame, dest: DataFrame, multi_version: list[str] | None = None) -> DataFrame:
     """Each cell of either table with its state: only_in_src, only_in_dest, both_but_diff or both_same.
 

@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from cellarium.functions import codecs
 from cellarium.operators import scan as scans
 from cellarium.operators import shard, tools, txn
-from cellarium.operators.filters import FilterList, ValueFilter
+from cellarium.operators.filters import ColumnFilter, FilterList, ValueFilter
 from cellarium.operators.resolve import compact, resolve, row_maps
 from cellarium.operators.scan import RowReader, ScanDescriptor, get, read_columns, scan
 from cellarium.plans import fixtures as fx
@@ -19,7 +19,7 @@ from cellarium.plans import workloads
 from cellarium.schema import Family, TableSchema
 from cellarium.session import scratch, table
 from cellarium.sources.store import Client, RowMutation
-from cellarium.sources.text import parse_mark_lines, parse_put_lines
+from cellarium.sources.text import parse_mark_lines, parse_put_lines, workload_lines
 from cellarium.streaming import observe
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -484,6 +484,34 @@ def corruption_select(spark, d):
     return tools.corruption_messages(log, phase="error", table="events", window=(T1, T2))
 
 
+@query(f"""SELECT "row", cf, qual, ts, CAST(floor(value) AS BIGINT) - 20 AS value FROM ({_newest()}) WHERE "row" IN (SELECT "row" FROM ({_newest()}) WHERE qual = 'click' AND CAST(floor(value) AS BIGINT) - 20 < 3)""")
+def filter_stored_int16(spark, d):
+    """Values stored as two bytes each, compared as the numbers they are."""
+    log = fx.cells_events(spark, d).withColumn("value", codecs.integer_bytes("int16", F.floor("value") - 20))
+    kept = scan(log, ev(), ScanDescriptor(filter=ValueFilter("ev", "click", "<", 3, "int16", if_missing_drop=True, stored=True)))
+    return kept.withColumn("value", codecs.integer_of("int16", F.col("value")))
+
+
+@query(f"""SELECT "row", cf, qual, ts, value FROM ({_newest()}) WHERE "row" IN (SELECT "row" FROM ({_newest()}) WHERE qual LIKE 'p%' AND value > 30)""")
+def filter_column(spark, d):
+    """A filter that is any condition on a cell."""
+    return scan(fx.cells_events(spark, d), ev(), ScanDescriptor(filter=ColumnFilter(F.col("qual").startswith("p") & (F.col("value") > 30), ("ev",))))
+
+
+@query(f"""SELECT "row", cf, qual, ts, value FROM ({_newest()}) WHERE "row" IN (SELECT "row" FROM ({_newest()}) WHERE qual >= 'purchase' AND qual <= 'view')""")
+def filter_qualifier_range(spark, d):
+    return scan(fx.cells_events(spark, d), ev(), ScanDescriptor(filter=ColumnFilter(F.col("qual").between("purchase", "view"), ("ev",))))
+
+
+@query(f"""SELECT "row", cf, qual, ts, qual AS value FROM ({_newest()}) WHERE "row" NOT IN (SELECT "row" FROM ({_newest()}) WHERE qual = 'view') OR "row" IN (SELECT "row" FROM ({_newest()}) WHERE qual = 'click')""")
+def filter_bytes(spark, d):
+    """Text values compared byte by byte: a row with a view (which is above `purchase`) needs a click (which is below)."""
+    log = fx.cells_events(spark, d).withColumn("value", F.col("qual"))
+    view = ValueFilter("ev", "view", "<=", "purchase", "bytes")
+    click = ValueFilter("ev", "click", "<", "purchase", "bytes", if_missing_drop=True)
+    return scan(log, ev(), ScanDescriptor(filter=FilterList("or", (view, click))))
+
+
 # --- transactions ------------------------------------------------------------------
 
 
@@ -745,6 +773,20 @@ def new_order(spark, d):
     return workloads.new_order(spark, d)
 
 
+@query("""SELECT event_id, CASE WHEN event_id % 100 < 4 THEN 'stock_level' WHEN event_id % 100 < 8 THEN 'order_status' WHEN event_id % 100 < 12 THEN 'delivery' WHEN event_id % 100 < 55 THEN 'payment' ELSE 'new_order' END AS txn FROM events""")
+def workload_mix(spark, d):
+    return workloads.mix(table(spark, d, "events").select("event_id"))
+
+
+@query("""SELECT 'GET' || chr(9) || 'u' || user_id || chr(9) || 'cf0:' AS value FROM events WHERE event_type = 'view'
+UNION ALL SELECT 'PUT' || chr(9) || 'u' || user_id || chr(9) || v || chr(9) || 'cf0:' || f || chr(9) || event_id FROM (SELECT *, unnest(['field0', 'field1']) AS f, unnest([event_type, 'n' || event_id]) AS v FROM events WHERE event_type IN ('click', 'purchase'))""")
+def workload_lines_of_events(spark, d):
+    """Views are reads, clicks inserts, purchases updates of two fields; errors and others are scans, which have no lines."""
+    op = F.when(F.col("event_type") == "view", "read").when(F.col("event_type") == "click", "insert").when(F.col("event_type") == "purchase", "update").otherwise("scan")
+    fields = F.create_map(F.lit("field0"), F.col("event_type"), F.lit("field1"), F.concat(F.lit("n"), "event_id"))
+    return workload_lines(table(spark, d, "events").select(op.alias("op"), F.concat(F.lit("u"), "user_id").alias("row"), fields.alias("fields"), F.col("event_id").alias("ts")))
+
+
 @query("""SELECT event_id, md5(props) AS digest, event_id % 7 <> 0 AS verified FROM events""")
 def mark_checksum(spark, d):
     """Payloads stored with their checksum, every seventh of them damaged since."""

@@ -65,3 +65,16 @@ def new_order(spark: SparkSession, d: str, discount: float = 0.05, tax: float =
     return j.groupBy("l_orderkey").agg(
         F.round(F.sum(F.col("l_quantity") * F.col("p_retailprice")) * (1 - discount) * (1 + tax), 6).alias("total"), F.round(F.sum(left), 2).alias("stock_left"), F.count_if(F.contains("p_name", F.lit("widget"))).alias("n_generic")
     )
+
+
+#: Shares of the five transactions in a hundred, in the order stock level, order status, delivery, payment, new order.
+MIX = {"stock_level": 4, "order_status": 4, "delivery": 4, "payment": 43, "new_order": 45}
+
+
+def mix(numbers: DataFrame, number: str = "event_id") -> DataFrame:
+    """numbers with the transaction of each: the same for the same number, and in MIX's shares of any run of a hundred."""
+    place, upto, out = F.pmod(F.col(number), F.lit(100)), 100, F.lit(None).cast("string")
+    for name, share in reversed(MIX.items()):
+        upto -= share
+        out = F.when((place >= upto) & out.isNull(), F.lit(name)).otherwise(out)
+    return numbers.withColumn("txn", out)

@@ -35,3 +35,12 @@ def parse_mark_lines(lines: DataFrame, mixed: bool = False) -> DataFrame:
     s = s.select("op", F.col("p")[0].alias("row"), F.when(put, F.get("p", F.lit(1))).alias("value"), F.coalesce(at(2), F.lit("")).alias("cols"), at(3).try_cast("bigint").alias("ts"))
     fam = s.select("op", "row", "value", "ts", F.explode(F.split("cols", ";")).alias("c")).select("op", "row", "value", "ts", family_of(F.col("c")).alias("cf"), F.explode(F.split(qualifier_of(F.col("c")), ",")).alias("qual"))
     return fam.select("op", "row", "cf", "qual", "ts", "value")
+
+
+def workload_lines(ops: DataFrame, family: str = "cf0") -> DataFrame:
+    """Lines of a mixed load file from operations (op, row, fields map, ts): reads make GET lines, inserts and updates a PUT line for each field, others none."""
+    fields = F.explode_outer(F.when(F.col("op").isin("insert", "update"), F.map_entries("fields")).otherwise(F.array().cast("array<struct<key:string,value:string>>")))
+    each = ops.select("op", "row", "ts", fields.alias("f"))
+    put = F.when(F.col("f").isNotNull(), F.concat_ws("\t", F.lit("PUT"), "row", "f.value", F.concat(F.lit(f"{family}:"), "f.key"), F.col("ts").cast("string")))
+    get = F.when(F.col("op") == "read", F.concat_ws("\t", F.lit("GET"), "row", F.lit(f"{family}:")))
+    return each.select(F.coalesce(put, get).alias("value")).where("value is not null")

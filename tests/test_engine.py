@@ -1,9 +1,11 @@
 import pytest
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cellarium.functions import codecs
-from cellarium.operators import shard, txn
+from cellarium.operators import shard, tools, txn
 from cellarium.operators.resolve import log_schema
-from cellarium.operators.scan import RowReader, ScanDescriptor, observed, resume_after, round_down
+from cellarium.operators.scan import RowReader, ScanDescriptor, observed, resume_after, round_down, scan
 from cellarium.schema import SchemaError, format_schema, parse_schema, update_schema, with_notify_group
 from cellarium.sources.cell_log import append, read
 from cellarium.sources.store import Client, RowMutation, StoreError
@@ -304,3 +306,34 @@ def test_round_down_past_deleted_rows(spark):
     assert [r.row for r in round_down(log, parse_schema("t{a}"), "r150x").collect()] == ["r019"]
     assert round_down(log, parse_schema("t{a}"), "a").count() == 0
     assert round_down(log.limit(0), parse_schema("t{a}"), "z").count() == 0
+
+
+def test_integer_columns(spark):
+    for kind, values in {"int8": (-128, -1, 0, 127), "uint8": (0, 255), "int16": (-32768, 5), "uint16": (65535,), "int32": (-(1 << 31), 1 << 30), "uint32": ((1 << 32) - 1,), "int64": (-(1 << 63), -1, (1 << 63) - 1), "uint64": (0, 1 << 63, (1 << 64) - 1)}.items():
+        df = spark.createDataFrame([(i, str(v)) for i, v in enumerate(values)], "i int, n string").selectExpr("i", "CAST(n AS decimal(20,0)) AS n")
+        for r in df.select("i", codecs.integer_bytes(kind, df.n).alias("raw")).withColumn("back", codecs.integer_of(kind, F.col("raw"))).collect():
+            assert (bytes(r.raw), int(r.back)) == (codecs.encode_integer(kind, values[r.i]), values[r.i])
+    none = spark.createDataFrame([(None,), (b"\x01",)], "raw binary")
+    assert [r[0] for r in none.select(codecs.integer_of("int16", none.raw)).collect()] == [None, None]
+
+
+def test_dump_and_load(spark, tmp_path):
+    cells = spark.createDataFrame([("r", "a", "x", 5, "1"), ("r", "b", "y", 6, "2"), ("s", "c", "z", 7, "3"), ("s", "a", "x", 99, "late")], "row string, cf string, qual string, ts long, value string")
+    tools.dump_to(cells, f"{tmp_path}/dump", (1, 50), {"a": "new", "b": "b", "c": "c"})
+    logs = tools.load_from(spark, f"{tmp_path}/dump", {"one": {"new"}, "two": {"b"}}, f"{tmp_path}/failed", first_seq=10)
+    assert [(r.row, r.cf, r.value, r.type) for r in logs["one"].collect()] == [("r", "new", "1", 5)] and logs["two"].first().value == "2" and logs["two"].first().seq >= 10
+    assert [(r.cf, r.reason) for r in spark.read.parquet(f"{tmp_path}/failed").collect()] == [("c", "unknown family")]
+
+
+def test_corruption_records(spark):
+    one = tools.stat_records(spark.createDataFrame([("t1", "bad block"), ("t2", "no file")], "tablet string, what string"), 10)
+    two = tools.stat_records(spark.createDataFrame([("t1", None), ("t3", "bad block")], "tablet string, what string"), 20)
+    cells = scan(one.unionByName(two), parse_schema("stat{corruption}"))
+    assert sorted((r.row, r.value) for r in cells.collect()) == [("!t2", "no file"), ("!t3", "bad block")]
+
+
+def test_stored_bytes_are_merged(spark):
+    count = lambda n: n.to_bytes(8, "big", signed=True)
+    rows = [("r", "a", "n", 1, 5, count(40), 1), ("r", "a", "n", 2, 10, count(-5), 2), ("r", "a", "n", 3, 10, count(7), 3), ("r", "a", "s", 1, 9, b"x\xff", 4), ("r", "a", "s", 2, 9, b"\x00y", 5), ("r", "a", "v", 1, 5, b"\x80", 6)]
+    cells = scan(spark.createDataFrame(rows, log_schema(T.BinaryType())), parse_schema("t{a}"))
+    assert {r.qual: bytes(r.value) for r in cells.collect()} == {"n": count(42), "s": b"x\xff\x00y", "v": b"\x80"}
