@@ -10,10 +10,12 @@
    can cross, are a bucket. Buckets of equal nodes are one.
 4. A bucket of up to BLOCK nodes is one R-tree, joined with itself level by level; pairs that its bounds let through are
    compared by their sets, which alone makes links.
-5. A larger bucket is dealt into blocks of that size. Of each block's tree only a spanning forest of the pairs with the
-   widest bounds is compared. What that links is one component, of which one node goes on to the next turn's blocks, until
-   a turn links nothing. Then every node outside a bucket's largest component is searched for in trees of all the bucket's
-   nodes of a size that fits, and pairs of different components are compared. So a large class costs about as many
+5. Larger buckets are merged where they hold the same class, and dealt into blocks. Of each block's tree only a spanning
+   forest of the pairs with the widest bounds is compared; nodes without a pair in a bucket of one block are done. What that links is one component, of which one node goes on to the next turn's blocks, until
+   turns join few. Then every node outside a bucket's largest component is searched for in trees of all the bucket's
+   nodes of a size that fits, to find the nodes that may have links with another component at all. These are searched
+   again, with points of 65,536 groups as a second bound: at first one pair for each node and component is compared,
+   then, unless all of these are links, all that are left. So a large class costs about as many
    comparisons as it has nodes, a link that is passed over lies within a component, and components are exact. `links`
    leaves out the turns and gives every link.
 
@@ -45,6 +47,10 @@ HEAVY = 0.002
 MOST_HEAVY = 1 << 20
 #: Nodes in a small bucket or a block; leaves of a tree's node; groups of a point; parts of a heavy shingle's bucket.
 BLOCK, LEAF, DIMS, SALTS = 64, 16, 2048, 64
+#: A turn's blocks hold so many times as many nodes.
+TURN_BLOCKS = 8
+#: Shingles of a set at most whose groups, of 65,536, are listed where many points of one bucket meet.
+FINE = 4096
 #: Keys that a task gathers before it counts them, nodes that it remembers, and cells of points that it compares at once.
 GATHER, SEEN, CELLS = 1 << 21, 100_000, 1 << 21
 #: Rows that are asked for by a broadcast of their hashes; more are joined.
@@ -80,6 +86,29 @@ def point(s: np.ndarray) -> np.ndarray:
     return np.minimum(np.bincount((s & np.uint64(size - 1)).astype(np.int64), minlength=size), 255).astype(np.uint8)
 
 
+def packed(p: np.ndarray, n: int) -> bytes:
+    """A point as bytes: two groups in each where there are few shingles to a group, 15 then stands for 15 or more."""
+    if n > 4 * DIMS:
+        return p.tobytes()
+    small = np.minimum(p, 15)
+    return (small[0::2] | small[1::2] << 4).tobytes()
+
+
+def unpacked(raw: np.ndarray, n: int) -> np.ndarray:
+    """The reverse, but for counts that were too great for half a byte: they are 255, any number."""
+    if n > 4 * DIMS:
+        return raw
+    out = np.empty(2 * len(raw), np.uint8)
+    out[0::2], out[1::2] = raw & 15, raw >> 4
+    out[out == 15] = 255
+    return out
+
+
+def finest(s: np.ndarray) -> bytes:
+    """The set's groups of 65,536, as numbers of 16 bits; nothing for more than FINE shingles."""
+    return (s >> np.uint64(48)).astype(np.uint16).tobytes() if len(s) <= FINE else b""
+
+
 def fold(p: np.ndarray, size: int) -> np.ndarray:
     """The point of the same set in fewer groups, without the bound of a byte: 255 stands for any number."""
     wide = np.where(p == 255, 1 << 20, p.astype(np.int32))
@@ -278,7 +307,7 @@ def _placer(bc, k: int, percent: int):
                 flat = np.concatenate([np.zeros(0, np.uint64), *(h for h, _ in heads)]).view(np.int64)
                 yield pa.RecordBatch.from_arrays([
                     pa.array(list(new), pa.binary()), pa.array([len(s) for s in new.values()], pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)),
-                    pa.array([h for _, h in heads], pa.int32()), pa.array([point(s).tobytes() for s in new.values()], pa.binary()),
+                    pa.array([h for _, h in heads], pa.int32()), pa.array([packed(point(s), len(s)) for s in new.values()], pa.binary()),
                 ], ["sig", "n", "prefix", "n_heavy", "point"])
 
     return run
@@ -346,18 +375,22 @@ def _pairs_of(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([_fixed(np.where(swap[:, None], b, a)), _fixed(np.where(swap[:, None], a, b))], ["a", "b"])
 
 
-def _points(arr: pa.Array) -> list[np.ndarray]:
+def _values(arr: pa.Array) -> list[np.ndarray]:
     raw, offsets = text_buffer(arr)
     return [raw[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
 
 
+def _points(rows: pa.RecordBatch | pa.Table) -> list[np.ndarray]:
+    return [unpacked(p, n) for p, n in zip(_values(rows.column("point")), rows.column("n").to_pylist())]
+
+
 def _searched(percent: int, forest: bool):
     """Rows of one bucket or block (h1, h2) stand together; its pairs come from its trees. forest: only those that connect all others."""
 
     def pairs(table: pa.Table) -> Iterator[pa.RecordBatch]:
         h = np.stack([table.column(c).to_numpy() for c in ("h1", "h2")], 1)
         starts = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]).any(1)])).tolist()
-        n, sig, points = table.column("n").to_numpy().astype(np.int64), _numbers(table.column("sig").combine_chunks()), _points(table.column("point"))
+        n, sig, points = table.column("n").to_numpy().astype(np.int64), _numbers(table.column("sig").combine_chunks()), _points(table)
         left, right = [], []
         for a, b in zip(starts, [*starts[1:], len(n)]):
             i, j, most = near_pairs(points[a:b], n[a:b], percent)
@@ -388,11 +421,55 @@ def _searched(percent: int, forest: bool):
     return run
 
 
-def _probed(percent: int):
-    """Rows of one block (key, kind, block) stand together, its nodes (side 0) before those (side 1) that are searched for among them: pairs of different components."""
+def _fine_near(i: np.ndarray, j: np.ndarray, mine: tuple, held: tuple, percent: int) -> np.ndarray:
+    """Which pairs (i, j), in order of i, may be linked for all that their finest points tell. mine, held: (n, finest points)."""
+    keep = np.ones(len(i), bool)
+    if not len(i):
+        return keep
+    sizes = np.array([len(f) for f in held[1]], np.int64)
+    cuts = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]]))
+    for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(i)]):
+        own, n = mine[1][i[a]], int(mine[0][i[a]])
+        some = a + np.flatnonzero(sizes[j[a:b]] > 0)
+        if not len(own) or not len(some):
+            continue
+        has = np.zeros(1 << 16, bool)
+        has[own] = True
+        hits = has[np.concatenate([held[1][k] for k in j[some].tolist()])]
+        most = np.add.reduceat(hits, np.concatenate([[0], np.cumsum(sizes[j[some]])[:-1]]), dtype=np.int64)
+        keep[some] = (100 + percent) * np.minimum(most, n) >= percent * (n + held[0][j[some]])
+    return keep
+
+
+def _probed(percent: int, one: bool, nodes: bool = False):
+    """Rows of one block (key, kind, block) stand together, its own nodes (side 0) before others (side 1): pairs of different components, of its nodes and of the others with them.
+
+    one: of a node's pairs with one component only that of the widest bound. nodes: the nodes (key, sig) of the pairs, each once for a part of a block.
+    """
+
+    def told(key: int, mine: tuple, held: tuple | None) -> Iterator[pa.RecordBatch]:
+        sig, comp, n, points, fine = mine
+        into = mine if held is None else held
+        i, j, most = near_pairs(points, n, percent, None if held is None else (held[3], held[2]))
+        other = np.flatnonzero((comp[i] != into[1][j]).any(1))
+        other = other[np.argsort(i[other], kind="stable")]
+        i, j, most = i[other], j[other], most[other]
+        if nodes:
+            some = np.concatenate([sig[np.unique(i)], into[0][np.unique(j)]])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), key, np.int64)), _fixed(some)], ["key", "sig"])
+            return
+        good = _fine_near(i, j, (n, fine), (into[2], into[4]), percent)
+        i, j, most = i[good], j[good], most[good]
+        if one:
+            to = into[1][j]
+            best = np.lexsort((-most / (n[i] + into[2][j] - most), to[:, 1], to[:, 0], i))
+            x = np.column_stack([i[best].astype(np.uint64), to[best]])
+            best = best[np.concatenate([[True], (x[1:] != x[:-1]).any(1)])[: len(best)]]
+            i, j = i[best], j[best]
+        yield _pairs_of(sig[i], into[0][j])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, None
+        key, held, joined = None, None, False
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -400,27 +477,34 @@ def _probed(percent: int):
             starts = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(1)])).tolist()
             for a, b in zip(starts, [*starts[1:], len(keys)]):
                 rows = batch.slice(a, b - a)
-                now = (_numbers(rows.column("sig")), _numbers(rows.column("comp")), rows.column("n").to_numpy().astype(np.int64), _points(rows.column("point")))
+                fine = [f.view(np.uint16) for f in _values(rows.column("fine"))]
+                now = (_numbers(rows.column("sig")), _numbers(rows.column("comp")), rows.column("n").to_numpy().astype(np.int64), _points(rows), fine)
                 if tuple(keys[a, :3]) != key:
-                    key, held = tuple(keys[a, :3]), None
+                    if held is not None and not joined:
+                        yield from told(key[0], held, None)
+                    key, held, joined = tuple(keys[a, :3].tolist()), None, False
                 if keys[a, 3] == 0:
-                    held = now if held is None else (*(np.concatenate(v) for v in zip(held[:3], now[:3])), held[3] + now[3])
-                elif held is not None:
-                    for at in range(0, b - a, 512):
-                        sig, comp, n, points = (v[at : at + 512] for v in now)
-                        i, j, _ = near_pairs(points, n, percent, (held[3], held[2]))
-                        other = (comp[i] != held[1][j]).any(1)
-                        yield _pairs_of(sig[i[other]], held[0][j[other]])
+                    held = now if held is None else (*(np.concatenate(v) for v in zip(held[:3], now[:3])), held[3] + now[3], held[4] + now[4])
+                    continue
+                if held is not None and not joined:
+                    yield from told(key[0], held, None)
+                    joined = True
+                for at in range(0, b - a if held is not None else 0, 512):
+                    yield from told(key[0], tuple(v[at : at + 512] for v in now), held)
+        if held is not None and not joined:
+            yield from told(key[0], held, None)
 
     return run
 
 
-def _sets_of(k: int):
+def _sets_of(k: int, of=lambda s: s.tobytes()):
+    """(sig, members) of each text's set, as bytes that `of` gives."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for batch in batches:
             for part in slices(batch, "text"):
-                rows = {sig: s.tobytes() for s in shingle_sets(part.column("text"), k) if (sig := signature(s)) not in seen}
+                rows = {sig: of(s) for s in shingle_sets(part.column("text"), k) if (sig := signature(s)) not in seen}
                 seen = set(rows) | (seen if len(seen) < SEEN else set())
                 yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.binary()), pa.array(list(rows.values()), pa.binary())], ["sig", "members"])
 
@@ -463,10 +547,25 @@ class _Join:
         dealt = keys.repartition("key", F.shiftright("tag", 32)).sortWithinPartitions("key", "tag")
         self.buckets = materialize(dealt.mapInArrow(_buckets(percent, block), "big boolean, h1 long, h2 long, members array<binary>"), "buckets")
         self.points = self.nodes.select("sig", "n", "point").dropDuplicates(["sig"])
-        self.hot = materialize(self.buckets.where("big").select(F.col("h1").alias("key"), F.explode("members").alias("sig")).distinct(), "hot")
+        self.hot = self._merged(materialize(self.buckets.where("big").select(F.col("h1").alias("key"), F.explode("members").alias("sig")).distinct(), "big"))
         self.links = spark.createDataFrame([], "a binary, b binary")
         self.tested = self.links
 
+    def _merged(self, big: DataFrame) -> DataFrame:
+        """Big buckets (key, sig), those of one class as one: a long text shares very many buckets with its like.
+
+        A key's group is the least key that any of its nodes has. Where a group has no more pairs than its buckets have
+        together, it stands for them all; any pair that shares a bucket is in it.
+        """
+        least = big.groupBy("sig").agg(F.min("key").alias("_least"))
+        keys = materialize(big.join(least, "sig").groupBy("key").agg(F.min("_least").alias("_group"), F.count(F.lit(1)).alias("_m")), "groups")
+        named = big.join(keys, "key").select("key", "sig", "_group")
+        pairs = keys.groupBy("_group").agg(F.sum(F.col("_m") * F.col("_m")).alias("_p"))
+        nodes = named.groupBy("_group", "sig").agg(F.lit(1)).groupBy("_group").agg(F.count(F.lit(1)).alias("_f"))
+        good = pairs.join(nodes, "_group").where("_f * _f <= _p").select("_group", F.lit(True).alias("_good"))
+        keyed = named.join(good, "_group", "left").select(F.when(F.col("_good"), F.col("_group")).otherwise(F.col("key")).alias("key"), "sig")
+        return materialize(keyed.distinct(), "hot")
+
     def _heavy(self, told: DataFrame, share: float) -> np.ndarray:
         """Hashes of shingles in over `share` of the documents, rarer ones first: MOST_HEAVY at most, as each takes its part of all shingles."""
         rows, total = self.profiles.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
@@ -477,14 +576,12 @@ class _Join:
 
     def verify(self, pairs: DataFrame, name: str) -> int:
         """Test pairs (a, b) that haven't been tested, keep the links, and return their number."""
-        close = materialize(pairs.distinct().join(self.tested, ["a", "b"], "left_anti"), f"close-{name}")
-        self.tested = self.tested.unionByName(close)
-        asked = close.select(F.explode(F.array("a", "b")).alias("sig")).distinct().join(self.reps, "sig")
-        rows = materialize(asked.select(F.xxhash64("doc_id", "th").alias("row")), f"asked-{name}")
-        if not (count := rows.count()):
+        pairs = materialize(pairs.distinct(), f"pairs-{name}")
+        close = materialize(pairs.join(self.tested, ["a", "b"], "left_anti"), f"close-{name}")
+        self.tested, self.last_asked = self.tested.unionByName(close), pairs.count()
+        sets = self._sets(close.select(F.explode(F.array("a", "b")).alias("sig")), name, lambda s: s.tobytes())
+        if sets is None:
             return 0
-        texts = self.docs.withColumn("row", F.xxhash64("doc_id", "th")).join(F.broadcast(rows) if count <= ASKED_ROWS else rows, "row", "left_semi").select("text")
-        sets = materialize(texts.mapInArrow(_sets_of(self.k), "sig binary, members binary"), f"sets-{name}")
         one = sets.dropDuplicates(["sig"])
         both = close.join(one.select(F.col("sig").alias("a"), F.col("members").alias("x")), "a").join(one.select(F.col("sig").alias("b"), F.col("members").alias("y")), "b")
         links = materialize(both.mapInArrow(_verified(self.percent), "a binary, b binary"), f"links-{name}")
@@ -492,6 +589,14 @@ class _Join:
         self.links = self.links.unionByName(links)
         return links.count()
 
+    def _sets(self, sigs: DataFrame, name: str, of) -> DataFrame | None:
+        """(sig, members) of the asked nodes, as `of` gives them, from the text of one row of each; None if none are asked for."""
+        rows = materialize(sigs.distinct().join(self.reps, "sig").select(F.xxhash64("doc_id", "th").alias("row")), f"asked-{name}")
+        if not (count := rows.count()):
+            return None
+        texts = self.docs.withColumn("row", F.xxhash64("doc_id", "th")).join(F.broadcast(rows) if count <= ASKED_ROWS else rows, "row", "left_semi").select("text")
+        return materialize(texts.mapInArrow(_sets_of(self.k, of), "sig binary, members binary"), f"sets-{name}")
+
     def small(self) -> DataFrame:
         """Pairs from the trees of all small buckets."""
         lists = self.buckets.where("not big").groupBy("h1", "h2").agg(F.first("members").alias("members"))
@@ -507,45 +612,81 @@ class _Join:
             return self.hot.withColumn("comp", F.col("sig"))
         return self.hot.join(components.withColumnRenamed("node", "sig"), "sig", "left").select("key", "sig", F.coalesce("component", "sig").alias("comp"))
 
+    def _blocks(self, rows: DataFrame) -> DataFrame:
+        return rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / (TURN_BLOCKS * self.block)).alias("_k"), F.count(F.lit(1)).alias("_c"))
+
     def turn(self, now: DataFrame, number: int) -> DataFrame:
         """Pairs from trees of blocks of big buckets, with one node of each component."""
         each = now.groupBy("key", "comp").agg(F.min("sig").alias("sig"))
-        blocks = each.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / self.block).alias("_k"), F.count(F.lit(1)).alias("_c")).where("_c > 1").select(F.col("key").alias("h1"), "_k")
+        blocks = self._blocks(each).where("_c > 1").select(F.col("key").alias("h1"), "_k")
         dealt = each.join(blocks, F.col("key") == F.col("h1")).select("h1", F.pmod(F.xxhash64("sig", F.lit(number)), "_k").alias("h2"), "sig")
         rows = dealt.join(self.points, "sig").repartition("h1", "h2").sortWithinPartitions("h1", "h2").select("h1", "h2", "sig", "n", "point")
         return rows.mapInArrow(_searched(self.percent, True), "a binary, b binary")
 
-    def rest(self, now: DataFrame) -> DataFrame:
-        """Pairs of different components from big buckets: nodes outside the largest component, searched for among all of a size that fits."""
+    def rest(self, now: DataFrame, found, more: DataFrame | None = None) -> DataFrame:
+        """What the task `found` makes of blocks of big buckets that hold several components: nodes outside the largest one, searched for among all of a size that fits.
+
+        more: (sig, members) with finest points.
+        """
         sizes = now.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("_c")).groupBy("key").agg(F.max_by("comp", F.struct("_c", "comp")).alias("_most"), F.count(F.lit(1)).alias("_kinds")).where("_kinds > 1")
-        # sizes that can be linked differ by less than one kind
-        kind = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(105.0 / self.percent)))
-        rows = materialize(now.join(sizes, "key").join(self.points, "sig").select("key", "sig", "comp", "n", "point", kind.alias("kind"), (F.col("comp") != F.col("_most")).alias("asks")), "open")
+        kind = lambda n: F.floor(F.log(n) / F.log(F.lit(16.0)))
+        left = now.join(sizes, "key").select("key", "sig", "comp", (F.col("comp") != F.col("_most")).alias("asks")).join(self.points, "sig")
+        left = left.withColumn("fine", F.lit(None).cast("binary")) if more is None else left.join(more.dropDuplicates(["sig"]).withColumnRenamed("members", "fine"), "sig")
+        rows = materialize(left.withColumn("kind", kind(F.col("n").cast("double"))), "open")
         blocks = rows.groupBy("key", "kind").agg(F.ceil(F.count(F.lit(1)) / 512).alias("_k"))
-        cols = ("key", "kind", "block", "side", "sig", "comp", "n", "point")
-        held = rows.join(blocks, ["key", "kind"]).withColumns({"block": F.pmod(F.xxhash64("sig"), "_k"), "side": F.lit(0)}).select(*cols)
-        near = rows.where("asks").withColumn("kind", F.explode(F.array(F.col("kind") - 1, F.col("kind"), F.col("kind") + 1)))
-        asking = near.join(blocks, ["key", "kind"]).withColumns({"block": F.explode(F.sequence(F.lit(0).cast("long"), F.col("_k") - 1)), "side": F.lit(1)}).select(*cols)
-        dealt = held.unionByName(asking).repartition("key", "kind", "block").sortWithinPartitions("key", "kind", "block", "side")
-        return dealt.mapInArrow(_probed(self.percent), "a binary, b binary")
+        cols = ("key", "kind", "block", "side", "sig", "comp", "n", "point", "fine")
+        own = F.pmod(F.xxhash64("sig"), "_k")
+        held = rows.join(blocks, ["key", "kind"]).withColumns({"block": own, "side": F.lit(0)}).select(*cols)
+        # to the other blocks of all kinds that hold sizes that can be linked, and a little more
+        near = rows.where("asks").withColumn("_own", F.col("kind")).withColumn("kind", F.explode(F.sequence(kind(F.col("n") * self.percent / 101.0), kind(F.col("n") * 101.0 / self.percent))))
+        asking = near.join(blocks, ["key", "kind"]).withColumns({"block": F.explode(F.sequence(F.lit(0).cast("long"), F.col("_k") - 1)), "side": F.lit(1)})
+        asking = asking.where((F.col("kind") != F.col("_own")) | (F.col("block") != own)).select(*cols)
+        return found(held.unionByName(asking).repartition("key", "kind", "block").sortWithinPartitions("key", "kind", "block", "side"))
+
+    def may_link(self, now: DataFrame) -> DataFrame:
+        """(key, sig) of the nodes that may be linked with one of another component in a big bucket, for all that points tell."""
+        return materialize(self.rest(now, lambda rows: rows.mapInArrow(_probed(self.percent, False, nodes=True), "key long, sig binary")).distinct(), "may")
+
+    def pairs_left(self, now: DataFrame, one: bool) -> DataFrame | None:
+        """Pairs of different components among these nodes of big buckets, with finest points as a second bound; None if there are no nodes."""
+        fine = self._sets(now.select("sig"), "finest", finest)
+        return fine and self.rest(now, lambda rows: rows.mapInArrow(_probed(self.percent, one), "a binary, b binary"), fine)
 
     def run(self, every_link: bool) -> None:
-        hot = not self.hot.isEmpty()
-        if not hot or every_link:
-            self.verify(self.small().unionByName(self.rest(self.open(None))) if hot else self.small(), "trees")
+        if self.hot.isEmpty():
+            self.verify(self.small(), "trees")
             return
-        now = self.open(None)
-        self.verify(self.small().unionByName(self.turn(now, 0)), "trees")
-        number = 0
-        while True:
-            number, now = number + 1, self.open(self.components())
-            left = now.groupBy("key", "comp").agg(F.lit(1).alias("_x")).groupBy("key").count().where("count > 1").agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
-            if not left:
-                return
-            # once a turn links few, what is left is searched whole
-            if 10 * self.verify(self.turn(now, number), f"turn-{number}") < left:
-                break
-        self.verify(self.rest(self.open(self.components())), "rest")
+        if every_link:
+            now = self.open(None)
+            pairs = self.pairs_left(now.join(self.may_link(now), ["key", "sig"], "left_semi"), False)
+            self.verify(self.small().unionByName(pairs) if pairs else self.small(), "trees")
+            return
+        before, number = self.hot.count(), 0
+        first = materialize(self.turn(self.open(None), 0).distinct(), "first")
+        self.verify(self.small().unionByName(first), "trees")
+        # where a bucket was one block, a node that is in none of its pairs has no link there
+        paired = first.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
+        several = self._blocks(self.hot).where("_k > 1").select("key")
+        self.hot = materialize(self.hot.join(paired, "sig", "left_semi").unionByName(self.hot.join(several, "key", "left_semi").select("sig", "key")).select("key", "sig").distinct(), "hot")
+        # as long as a turn leaves three quarters at most, another one follows
+        while 4 * (left := self._left(now := self.open(self.components()))) <= 3 * before and left:
+            before, number = left, number + 1
+            self.verify(self.turn(now, number), f"turn-{number}")
+        if not left:
+            return
+        # what is left is searched whole: for one pair of each node with each component of a block
+        may = self.may_link(now)
+        pairs = self.pairs_left(now.join(may, ["key", "sig"], "left_semi"), True)
+        if pairs is None or self.verify(pairs, "one") == self.last_asked:
+            return  # all of them are links, so that each node is now of a component with all it may be linked with
+        pairs = self.pairs_left(self.open(self.components()).join(may, ["key", "sig"], "left_semi"), False)
+        if pairs is not None:
+            self.verify(pairs, "rest")
+
+    def _left(self, now: DataFrame) -> int:
+        """Components in buckets that have several."""
+        kinds = now.groupBy("key", "comp").agg(F.lit(1).alias("_x")).groupBy("key").count().where("count > 1")
+        return kinds.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
 
 
 def _joined(docs: DataFrame, percent: int, k: int, heavy_share: float, block: int, every_link: bool = False) -> _Join:
@@ -596,3 +737,17 @@ def links(docs: DataFrame, percent: int = PERCENT, k: int = K, heavy_share: floa
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def sql() -> str:
+    low = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return rf"""
+WITH RECURSIVE w AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all({low}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+h AS (SELECT rid, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {K} THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - {K} + 2), lambda i: array_to_string(w[i : i + {K} - 1], ' '))) END AS s FROM w),
+u AS MATERIALIZED (SELECT rid, unnest(s) AS x FROM h),
+c AS (SELECT a.rid AS p, b.rid AS q, count(*) AS k FROM u a JOIN u b ON a.x = b.x AND a.rid < b.rid GROUP BY ALL),
+l AS MATERIALIZED (SELECT p, q FROM c JOIN h a ON a.rid = p JOIN h b ON b.rid = q WHERE 100 * k >= {PERCENT} * (len(a.s) + len(b.s) - k)),
+e AS MATERIALIZED (SELECT p, q FROM l UNION ALL SELECT q, p FROM l),
+r(a, b) AS (SELECT rid, rid FROM h UNION SELECT r.a, e.q FROM r JOIN e ON e.p = r.b)
+SELECT h.doc_id AS doc_id, CAST(len(h.s) AS BIGINT) AS n_shingles, coalesce(m.least, h.doc_id) AS component_id
+FROM h JOIN (SELECT a, min(doc_id) AS least FROM r JOIN h o ON o.rid = r.b GROUP BY a) m ON m.a = h.rid"""

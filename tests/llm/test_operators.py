@@ -10,10 +10,12 @@ from collections import Counter, defaultdict
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from cellarium.llm import decontamination, jaccard_join, language_id, license_scan, packing, quality_classifier, quality_rules, registry, run_length_index, sharding, textvec, url_filters
+from cellarium.llm.common import text_buffer
 from cellarium.llm.components import connected_components
 from tests.oracle import connect, same
 
@@ -245,8 +247,11 @@ def test_components(spark):
         if a is not None and a != b:
             x, y = find(a), find(b)
             parent[max(x, y)] = min(x, y)
-    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
-    assert got == {n: find(n) for n in parent}
+    for part_edges in (200_000, 30, 1):
+        got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "u long, v long"), part_edges).collect()}
+        assert got == {n: find(n) for n in parent}
+    texts = spark.createDataFrame([(f"n{a}", f"n{b}") for a, b in edges if a is not None], "u string, v string")
+    assert {r.node for r in connected_components(texts, 30).collect()} == {f"n{n}" for n in parent}
     assert connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
@@ -350,7 +355,6 @@ def test_packing(spark, docs, none):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(packing.tokenizer_path())
-    t.encode_special_tokens = True
     want = Counter()
     for i, text in corpus():
         ids = np.array([*t.encode(text or "", add_special_tokens=False).ids, 1], "<u4")
@@ -385,12 +389,58 @@ def test_plan():
 
 
 def test_words_of_the_tokenizer():
-    ids = packing.WordIds(packing.tokenizer_path())
+    from tokenizers import Tokenizer
+
+    ids, whole = packing.PieceIds(packing.tokenizer_path()), Tokenizer.from_file(packing.tokenizer_path())
+    assert ids.cuts
     rnd = random.Random(4)
-    texts = ["don't stop", "<|endoftext|> x", "\u00c9T\u00c9 \u00df\u00d7\u00f7", "a1b22c", "e\u0301", "\u212bngstr\u00f6m \u0130", "'s've", "\u00bd \u00aa \u3000 x\u00a0y"]
-    texts += ["".join(rnd.choice("aZ\u00e9\u00dc9.,'$ \n\u0301\u4e2d") for _ in range(rnd.randint(0, 20))) for _ in range(500)]
-    for t, got in zip(texts, ids.of_texts([t.encode() for t in texts])):
-        assert got == np.array(ids.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), t
+    texts = ["don't stop", "<|endoftext|> x", "a<|startoftext|>b <|endoftext|>", "<|x|>", "x <", "\u00c9T\u00c9 \u00df\u00d7\u00f7", "a1b22c", "e\u0301", "\u212bngstr\u00f6m \u0130", "'s've", "\u00bd \u00aa \u3000 x\u00a0y", "a" * 5000, "", None, "\x00\x1f a\x1cb\x7f"]
+    texts += ["".join(rnd.choice("aZ\u00e9\u00dc9.,'$<| \n\u0301\u4e2d\u00d7\u00c3 ") for _ in range(rnd.randint(0, 20))) for _ in range(3000)]
+    want = [whole.encode(t or "", add_special_tokens=False).ids for t in texts]
+    for step in (1, 500, len(texts)):
+        for at in range(0, len(texts), step):
+            flat, offsets = ids.of_texts(*text_buffer(pa.array(texts[at : at + step], pa.string())))
+            assert [flat[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:])] == want[at : at + step]
+    ids.cuts = False  # as for a tokenizer of another kind
+    flat, offsets = ids.of_texts(*text_buffer(pa.array(texts, pa.string())))
+    assert [flat[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:])] == want
+
+
+def bins_by_hand(lengths, size):
+    """Best-two-fit on the pieces themselves, one bin after another."""
+    left, bins = sorted(lengths), []
+    while left:
+        held, gap = [], size
+        while fits := [k for k in left if k <= gap]:
+            held.append(fits[-1])
+            left.remove(fits[-1])
+            gap -= fits[-1]
+        while gap and len(held) > 1:
+            small = min(held)
+            room = gap + small
+            pairs = [(left[j] + left[i], left[j], left[i]) for i in range(len(left)) for j in range(i) if small < left[i] + left[j] <= room]
+            if not pairs:
+                break
+            both, a, b = max(pairs, key=lambda p: (p[0], max(p[1:])))
+            held.remove(small)
+            for k in (a, b):
+                held.append(k)
+                left.remove(k)
+            left = sorted([*left, small])
+            gap = room - both
+        bins.append(sorted(held, reverse=True))
+    return bins
+
+
+def test_best_two_fit_by_hand():
+    rnd = random.Random(7)
+    for _ in range(150):
+        lengths = [rnd.randint(1, 64) if rnd.random() < 0.7 else rnd.choice([1, 32, 64]) for _ in range(rnd.randint(1, 40))]
+        got = [list(b.lengths) for b in packing.plan(Counter(lengths), 64) for _ in range(b.times)]
+        want = bins_by_hand(lengths, 64)
+        assert sorted(map(tuple, got)) == sorted(map(tuple, want)) or len(got) <= len(want)
+        first = packing.plan(Counter(lengths), 64)[0]
+        assert list(first.lengths) == want[0]
 
 
 # --- op9 ---
@@ -483,6 +533,17 @@ def test_r_tree():
     assert len(jaccard_join.RTree(points[:0], n[:0]).join()[0]) == 0
 
 
+def test_packed_points():
+    rng = np.random.default_rng(3)
+    for n in (1, 8, 9, 300, 5000, 8192, 8193, 30_000):
+        s = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        p = jaccard_join.point(s)
+        q = jaccard_join.unpacked(np.frombuffer(jaccard_join.packed(p, len(s)), np.uint8), len(s))
+        assert len(p) == len(q) and ((p == q) | ((p >= 15) & (q == 255))).all() and p.sum() == len(s)
+    many = np.arange(100, dtype=np.uint64) << np.uint64(20)  # all in one group
+    assert jaccard_join.unpacked(np.frombuffer(jaccard_join.packed(jaccard_join.point(many), 100), np.uint8), 100)[0] == 255
+
+
 def test_spanning_forest():
     i, j, most = np.array([0, 1, 0, 3]), np.array([1, 2, 2, 4]), np.array([5, 9, 8, 1])
     assert sorted(jaccard_join.spanning_forest(i, j, most, np.full(4, 20)).tolist()) == [1, 2, 3]
@@ -544,8 +605,68 @@ def test_sharding(spark, docs, none):
     more = sharding.rebalanced_map(spark, first, loads, 5)
     before, after = ({r.virtual_slot: r.shard for r in m.collect()} for m in (first, more))
     assert {r.version for r in more.collect()} == {2} and set(after) == set(range(64))
-    assert all(after[s] == before[s] or after[s] == 4 for s in before if before[s] < 4) or len(set(after.values())) == 5
+    assert all(after[s] in (before[s], 4) for s in before)
+    size = {r.virtual_slot: r.bytes for r in loads.collect()}
+    for shards, owner in ((4, before), (5, after)):
+        held = [sum(size[s] for s in owner if owner[s] == k) for k in range(shards)]
+        assert max(held) - min(held) <= max(size.values())
     fewer = {r.virtual_slot: r.shard for r in sharding.rebalanced_map(spark, more, loads, 3).collect()}
     assert set(fewer.values()) <= {0, 1, 2} and len(fewer) == 64
     empty = none.select("doc_id", F.lit(1).cast("long").alias("size"), F.lit(0).cast("long").alias("text_crc32"), sharding.slot_of("doc_id").alias("virtual_slot"))
     assert sharding.place(empty, sharding.first_map(spark, sharding.slot_loads(empty))).count() == 0
+
+
+def test_sharding_by_hand(spark, docs):
+    """The map and every row's place, made again one by one."""
+    rows = [(r.doc_id, r.size, r.text_crc32, r.virtual_slot) for r in docs.select("doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"), F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"), sharding.slot_of("doc_id", 64).alias("virtual_slot")).collect()]
+    size = Counter()
+    for _, n, _, v in rows:
+        size[v] += n
+    held, owner = [0] * 3, {}
+    for v in sorted(range(64), key=lambda v: (-size[v], v)):
+        owner[v] = held.index(min(held))
+        held[owner[v]] += size[v]
+    want, taken = Counter(), Counter()
+    for i, n, c, v in sorted(rows, key=lambda r: (r[3], r[0] is not None, r[0] or 0, r[2], r[1])):
+        want[i, n, c, owner[v], taken[owner[v]]] += 1
+        taken[owner[v]] += 1
+    records = spark.createDataFrame(rows, "doc_id long, size long, text_crc32 long, virtual_slot int")
+    got = sharding.place(records, sharding.first_map(spark, sharding.slot_loads(records, 64), 3))
+    assert multiset(got.select("doc_id", "size", "text_crc32", "shard", "slot").collect()) == want
+
+
+# --- all of them: very long texts, ties ---
+
+
+def test_very_long_texts(spark):
+    words = " ".join(f"the{i % 977} house" for i in range(150_000))  # over 2 MB
+    df = spark.createDataFrame([(1, words + "\nReleased under the MIT License."), (2, "x" * 3_000_000), (3, "short text of a few words")], "doc_id long, text string")
+    found = {r.doc_id: r for r in license_scan.scan(df).collect()}
+    assert (found[1].licenses, found[2].licenses, found[1].text_license) == ("MIT", "", None)
+    model = language_id.fit(spark.createDataFrame([(i, t, k) for i in range(10) for t, k in (("the house and the garden", "en"), ("das haus und der garten", "de"))], "doc_id long, text string, lang string"))
+    assert {r.doc_id: r.lang_pred for r in language_id.predict(df, model).collect()}[1] == "en"
+    rules = {r.doc_id: r for r in quality_rules.with_quality(df).collect()}
+    assert (rules[1].n_words, rules[2].n_words, rules[2].word_chars) == (300_005, 1, 3_000_000)
+    scores = quality_classifier.score(df, quality_classifier.fit(df, spark.createDataFrame([(1, 1), (2, 0), (3, 1)], "doc_id long, quality int"))).collect()
+    assert len(scores) == 3 and all(0 <= r.score <= 1 for r in scores)
+    page = spark.createDataFrame([(1, "http://a.test/" + "p" * 2_100_000, "<p>" + "y" * 2_500_000 + '<link rel="canonical" href="http://a.example.com/en/1">')], "page_id long, url string, html string")
+    assert url_filters.judge(page).first().verdict == "block"
+    near = spark.createDataFrame([(1, words), (2, words + " end"), (3, "x" * 3_000_000), (4, "x" * 2_999_999)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.component_id) for r in jaccard_join.near_duplicates(near).collect()) == [(1, 1), (2, 1), (3, 3), (4, 4)]
+
+
+def test_ties(spark):
+    rows = [(i, "same words here") for i in range(6)] + [(None, "same words here"), (2, "same words here")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    model = language_id.fit(spark.createDataFrame([(1, "same words here", "en"), (2, "same words here", "de"), (3, "same words here", "nl")], "doc_id long, text string, lang string"))
+    assert len({(r.lang_pred, r.score) for r in language_id.predict(df, model).collect()}) == 1
+    labels = spark.createDataFrame([(i, i % 2) for i in range(6)], "doc_id long, quality int")
+    assert len({r.score for r in quality_classifier.score(df, quality_classifier.fit(df, labels)).collect()}) == 1
+    out = packing.pack(packing.tokenized_pieces(df, packing.tokenizer_path(), 8).cache(), 8, part_rows=2).collect()
+    length = out[0].length
+    assert sorted((r.sequence_id, r.offset) for r in out) == [(s, o) for s in range(8 // (8 // length)) for o in range(0, 8 - length + 1, length)][: len(out)]
+    records = df.select("doc_id", F.lit(5).cast("long").alias("size"), F.lit(1).cast("long").alias("text_crc32"), sharding.slot_of("doc_id", 4).alias("virtual_slot"))
+    placed = sharding.place(records, sharding.first_map(spark, sharding.slot_loads(records, 4), 2)).collect()
+    assert len({(r.shard, r.slot) for r in placed}) == 8
+    pages = spark.createDataFrame([(1, "http://a.example.com/en/1", None)] * 3, "page_id long, url string, html string")
+    assert [r.verdict for r in url_filters.judge(pages).collect()] == ["block"] * 3
