@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellarium.llm.common import materialize, slices, text_buffer
+from cellarium.llm.common import bound_batches, materialize, slices, text_buffer
 from cellarium.llm.textvec import ALNUM, LOWER, SpanHash, runs, windows
 
 WINDOW, SHINGLE = 10, 5
@@ -212,6 +212,7 @@ def benchmark_blocks(benchmark: DataFrame, limit: int = BLOCK_BYTES) -> Iterator
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs (text, ...) with n_words, n_hit, n_items, items_sha256 and contaminated."""
     spark = docs.sparkSession
+    bound_batches(spark)
     kept = [c for c in docs.columns if c not in (*OWN, "_hit", "_items")]
     docs = docs.select(*(F.col(f"`{c}`") for c in kept))
     runs_of_items = benchmark_blocks(benchmark, block_bytes)
@@ -234,3 +235,17 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id", *OWN)
+
+
+def sql() -> str:
+    words = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {words} AS w FROM documents),
+b AS (SELECT item_id, {words} AS w, least(10, len(w)) AS k FROM benchmark),
+i AS MATERIALIZED (SELECT DISTINCT item_id, k, array_to_string(w[p : p + k - 1], ' ') AS x FROM (SELECT item_id, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM b WHERE k > 0)),
+a AS (SELECT rid, p, k, array_to_string(w[p : p + k - 1], ' ') AS x FROM (SELECT rid, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM d, (SELECT DISTINCT k FROM i))),
+m AS MATERIALIZED (SELECT a.rid AS rid, a.p AS p, a.k AS k, i.item_id AS item_id FROM a JOIN i ON i.k = a.k AND i.x = a.x),
+h AS (SELECT rid, count(DISTINCT t) AS n_hit FROM (SELECT rid, unnest(range(p, p + k)) AS t FROM (SELECT DISTINCT rid, p, k FROM m)) GROUP BY rid),
+o AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT rid, coalesce(CAST(item_id AS VARCHAR), '') AS item FROM m) GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (rid) LEFT JOIN o USING (rid)"""

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cellarium.llm.common import slices
+from cellarium.llm.common import bound_batches, slices
 
 FIT_ROWS, MIN_ROWS = 3000, 10
 WIDTH = 4096
@@ -132,6 +132,7 @@ def sample(rows: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
 
 def fit(rows: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     """rows: doc_id, text, lang; those with a null text or lang teach nothing."""
+    bound_batches(rows.sparkSession)
     got = sample(rows, fit_rows).mapInArrow(_sampled, "lang string, x binary").orderBy("lang", "x").collect()
     if not got:
         return Model()
@@ -173,6 +174,7 @@ def _predictor(bc, kept: list[str]):
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """docs (text, ...) with lang_pred, score and family."""
+    bound_batches(docs.sparkSession)
     kept = [c for c in docs.columns if c not in OWN]
     docs = docs.select(*(F.col(f"`{c}`") for c in kept))
     bc = docs.sparkSession.sparkContext.broadcast(model)  # WIDTH floats for each family and pair of languages in it

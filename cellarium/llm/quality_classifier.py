@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellarium.llm.common import materialize, slices
+from cellarium.llm.common import bound_batches, materialize, slices
 
 FIT_ROWS, FIT_PARTS = 20_000, 16
 FEATURES, RIDGE = 300, 1e-3
@@ -125,6 +125,7 @@ def _equations(bc):
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, seed: int = 7) -> Model:
     """docs: doc_id, text. labels: doc_id, quality."""
     spark = docs.sparkSession
+    bound_batches(spark)
     one = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.max("quality").cast("double").alias("y"))
     n = one.count()
     rng = np.random.default_rng(seed)
@@ -164,6 +165,7 @@ def _scorer(bc, kept: list[str]):
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """docs (text, ...) with score and predicted."""
+    bound_batches(docs.sparkSession)
     kept = [c for c in docs.columns if c not in OWN]
     docs = docs.select(*(F.col(f"`{c}`") for c in kept))
     bc = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size but for the calibration's knots, at most as many as its rows

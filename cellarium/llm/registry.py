@@ -23,6 +23,8 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_license_scan": license_scan.sql(),
+        "op3_decontamination": decontamination.sql(),
         "op4_url_filters": url_filters.sql(),
         "op6_quality_rules": quality_rules.sql(),
+        "op9_jaccard_join": jaccard_join.sql(),
     }
