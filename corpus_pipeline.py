@@ -2,6 +2,12 @@
 
 Stages run one after another; each works on what the one before kept, written as Parquet in the shared folder and read
 again, so a lost executor costs one stage's tasks at most.
+
+Defined cases, for every stage: a null or empty text is a document like any other (the classifier scores it, it is no
+near duplicate of anything, holds no repeat and no item, and is packed as its end token alone); repeated rows are judged
+one by one, and only the near-duplicate stage drops all but one of them; rows with a null id are kept or dropped by their
+text alone; a very long text is handled whole; an empty table gives an empty result; all columns of documents come out as
+they went in, whatever their names, but for `text` and `n_chars` where repeats were taken out.
 """
 
 from __future__ import annotations
@@ -10,18 +16,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellarium.llm import decontamination, jaccard_join, packing, quality_classifier, run_length_index
-from cellarium.llm.common import materialize
+from cellarium.llm.common import materialize, set_apart
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, fitted on labels of the training fold, does not reject."""
+    """Documents that the classifier, fitted on labels of the training fold, does not reject: a score of 0.5, as where there are no labels, is kept."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(quality_classifier.training_fold())
-    model = quality_classifier.fit(docs.where(quality_classifier.training_fold()), labels)
-    return quality_classifier.score(docs, model).where("predicted = 1").select(*docs.columns)
+    narrow, restore = set_apart(docs, "doc_id", "text")
+    model = quality_classifier.fit(docs.select("doc_id", "text").where(quality_classifier.training_fold()), labels)
+    return restore(quality_classifier.score(narrow, model).where("predicted = 1"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near duplicates."""
+    """One document of each component of near duplicates (the least id; of equal ids the least text hash), and all without words."""
     return jaccard_join.representatives(docs)
 
 
@@ -33,8 +40,8 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no window of a benchmark item occurs in."""
-    judged = decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return judged.where("not contaminated").select(*docs.columns)
+    narrow, restore = set_apart(docs, "doc_id", "text")
+    return restore(decontamination.decontaminate(narrow, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("not contaminated"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
