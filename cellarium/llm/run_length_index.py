@@ -33,7 +33,9 @@ from cellarium.llm.common import bound_batches, materialize, slices, text_buffer
 from cellarium.llm.textvec import SpanHash, mix
 
 SIZE, GRAM = 200, 24
-BLOCK_BYTES, BIG = 3 << 19, 20_000
+#: Bytes of a block, of which an index takes some 150 times as much memory; different fragments of one anchor that may share
+#: a block. A fragment has under 2 * SIZE bytes, so that an anchor adds less than a megabyte and a half.
+BLOCK_BYTES, BIG = 1 << 19, 4_000
 
 
 def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
