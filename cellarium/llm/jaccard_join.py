@@ -11,13 +11,13 @@
 4. A bucket of up to BLOCK nodes is one R-tree, joined with itself level by level; pairs that its bounds let through are
    compared by their sets, which alone makes links.
 5. Larger buckets are merged where they hold the same class, and dealt into blocks. Of each block's tree only a spanning
-   forest of the pairs with the widest bounds is compared; nodes without a pair in a bucket of one block are done. What that links is one component, of which one node goes on to the next turn's blocks, until
-   turns join few. Then every node outside a bucket's largest component is searched for in trees of all the bucket's
-   nodes of a size that fits, to find the nodes that may have links with another component at all. These are searched
-   again, with points of 65,536 groups as a second bound: at first one pair for each node and component is compared,
-   then, unless all of these are links, all that are left. So a large class costs about as many
-   comparisons as it has nodes, a link that is passed over lies within a component, and components are exact. `links`
-   leaves out the turns and gives every link.
+   forest of the pairs with the widest bounds is compared; nodes without a pair in a bucket of one block are done. What
+   that links is one component, of which one node goes on to the next turn's blocks, until turns join few. Then every
+   node outside a bucket's largest component is searched for in trees of all the bucket's nodes of a size that fits, to
+   find the nodes that may have links with another component at all. These are searched again, with points of 65,536
+   groups as a second bound: at first one pair for each node and component is compared, then, unless all of these are
+   links, all that are left. So a large class costs about as many comparisons as it has nodes, a link that is passed over
+   lies within a component, and components are exact. `links` leaves out the turns and gives every link.
 
 Nothing is capped: a bucket's size only decides how its pairs are found. Shingles are compared by 64-bit hashes.
 
