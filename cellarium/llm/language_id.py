@@ -116,7 +116,7 @@ class Model:
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, "text"):
-            rows = [(lang, features(t).astype("<f4").tobytes()) for lang, t in zip(part.column("lang").to_pylist(), part.column("text").to_pylist()) if _LETTER.search(t)]
+            rows = [(lang, features(t).astype("<f2").tobytes()) for lang, t in zip(part.column("lang").to_pylist(), part.column("text").to_pylist()) if _LETTER.search(t)]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.binary())], ["lang", "x"])
 
 
@@ -136,8 +136,9 @@ def fit(rows: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     got = sample(rows, fit_rows).mapInArrow(_sampled, "lang string, x binary").orderBy("lang", "x").collect()
     if not got:
         return Model()
-    x = np.array([np.frombuffer(r.x, "<f4") for r in got])
+    x = np.array([np.frombuffer(r.x, "<f2") for r in got]).astype(np.float32)  # halves are what the driver collects
     lang = np.array([r.lang for r in got])
+    del got
     known = sorted(set(lang.tolist()))
     family = np.array([family_of(v) for v in lang])
     names = sorted(set(family.tolist()))
