@@ -232,6 +232,21 @@ def test_url_filters_of_pages_with_several_links(spark):
     assert got((1, 2, 3, 6)) == {1: "block", 2: "block", 3: "block", 6: "block"}
 
 
+def test_url_filters_query_by_the_rules_of_its_contract(spark, tmp_path):
+    link = lambda *to: "".join(f'<link rel="canonical" href="{x}">' for x in to)
+    rows = [
+        (1, "http://a.example.com/en/8", None, "com/en/", "block"), (2, "http://com/en/", None, "com/en/", "block"), (3, "http://EXAMPLE.com/en/71", None, "example.com/en/7", "allow"), (4, "http://www.example.com/en/7?x", None, "example.com/en/7", "allow"),
+        (5, "http://shop.NET/de/8", None, "net/de/", "allow"), (6, "http://net/de/", None, "net/de/", "allow"), (7, "http://m.example.net/de/7#x", None, "net/de/", "allow"), (8, "http://m.example.net/de/81", None, "example.net/de/8", "block"), (9, "http://example.net/de/8", None, "example.net/de/8", "block"),
+        (10, "http://b.org/es/1", None, "org/es/", "block"), (11, "http://mynet/de/1", None, None, "allow"), (12, "http://a.net/DE/1", None, None, "allow"), (13, None, None, None, "allow"),
+        # aliases: allowed by a target under net/de/ whatever else blocks, blocked by one under example.net/de/8
+        (14, "http://one.test/", link("http://x.net/de/1"), None, "allow"), (15, "http://two.test/", link("http://y.net/de/2", "http://c.org/es/2"), None, "allow"), (16, "http://three.test/", link("http://z.example.net/de/8"), None, "block"),
+        (17, "http://d.org/es/3", link("http://w.net/de/3"), "org/es/", "block"), (18, "http://v.net/de/4", link("http://e.org/es/4"), "net/de/", "allow"),
+    ]
+    spark.createDataFrame([r[:3] for r in rows], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: (r.rule, r.verdict) for r in registry.queries()["op4_url_filters"](spark, str(tmp_path)).collect()}
+    assert got == {r[0]: r[3:] for r in rows}
+
+
 def test_components(spark):
     rnd = random.Random(5)
     edges = [(rnd.randint(0, 60), rnd.randint(0, 60)) for _ in range(45)] + [(100 + i, 101 + i) for i in range(40)] + [(200, i) for i in range(201, 240)] + [(7, 7), (None, 3)]
